@@ -134,12 +134,13 @@ def extractive_summary(
     else:
         texts = topic_samples(kept, text_col, samples, by="topic_id").drop("sample_no")
     sentence = texts.select(
-        "topic_id", "row_id", F.posexplode(T.sentences(F.col("sample")))
-    ).select("topic_id", "row_id", (F.col("pos") + 1).alias("sentence_no"), F.col("col").alias("sentence"))
+        "topic_id", "row_id", F.posexplode_outer(T.sentences(F.col("sample")))
+    ).filter("col IS NOT NULL").select("topic_id", "row_id", (F.col("pos") + 1).alias("sentence_no"), F.col("col").alias("sentence"))
     sentence = materialize(sentence, "sentences")
     terms = (
         with_terms(sentence, "sentence", language, stop_words)
-        .select("topic_id", "row_id", "sentence_no", F.explode("terms").alias("term"))
+        .select("topic_id", "row_id", "sentence_no", F.explode_outer("terms").alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("topic_id", "row_id", "sentence_no", "term").agg(F.count("*").alias("n"))
     )
     scores = (

@@ -22,9 +22,7 @@ def with_terms(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS, name: str = "terms",
 ) -> DataFrame:
     """Words and word pairs of each document; a pair never crosses documents."""
-    words = T.drop_stop_words(
-        T.tokens(T.prepare(F.col(text_col), language), language), stop_words
-    )
+    words = T.prepared_words(F.col(text_col), language, stop_words)
     return df.withColumn("_words", words).withColumn(name, T.with_bigrams(F.col("_words"))).drop("_words")
 
 
@@ -32,11 +30,27 @@ def class_term_counts(
     topics: DataFrame, text_col: str, language: str = "english",
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
-    """(topic_id, term, n) over all rows, outliers as a class of their own."""
-    return (
-        with_terms(topics.select("topic_id", text_col), text_col, language, stop_words)
-        .select("topic_id", F.explode("terms").alias("term"))
-        .groupBy("topic_id", "term").agg(F.count("*").alias("n"))
+    """(topic_id, term, n) of words and word pairs over all rows, outliers as a class too.
+
+    Each word is counted together with its successor; the counts of single words then follow
+    from those of the pairs, so half as many rows reach the first aggregation.
+    """
+    words = topics.select(
+        "topic_id", T.prepared_words(F.col(text_col), language, stop_words).alias("word")
+    )
+    successors = F.slice("word", F.lit(2), F.greatest(F.size("word") - 1, F.lit(0)))
+    pairs = (
+        # A plain explode would make the planner repeat the whole expression in a size filter.
+        words.select("topic_id", F.explode_outer(F.arrays_zip("word", successors.alias("next"))).alias("p"))
+        .select("topic_id", "p.word", "p.next").filter("word IS NOT NULL")
+        .groupBy("topic_id", "word", "next")
+        .agg(F.count("*").alias("n"), F.count("next").alias("followed"))
+    )
+    singles = pairs.groupBy("topic_id", F.col("word").alias("term")).agg(F.sum("n").alias("n"))
+    return singles.union(
+        # On the count, because a filter on the key would split the shared aggregation.
+        pairs.filter("followed > 0")
+        .select("topic_id", F.concat("word", F.lit(" "), "next").alias("term"), "n")
     )
 
 
