@@ -115,8 +115,10 @@ def neighbors_of_distinct(
                 _pmod(F.xxhash64("vid", F.lit(5)), _pick(lanes, F.col("target"))).alias("lane"),
             )
         )
+        # Renamed, because both sides stem from one table and must not share columns.
         points = own.filter(_pick(load, F.col("cell")) > 0).select(
-            "vid", "vec", "cell", "block",
+            F.col("vid").alias("point"), F.col("vec").alias("at"),
+            F.col("cell").alias("cell"), F.col("block").alias("block"),
             F.explode(F.sequence(F.lit(0), _pick(lanes - 1, F.col("cell")))).alias("lane"),
         )
         on = ["cell", "block", "lane"]
@@ -294,9 +296,9 @@ def _visit_kernel(k: int, metric: str):
                 "vid": np.array([], dtype=np.int64), "nbr": np.array([], dtype=np.int64),
                 "dist": np.array([], dtype=np.float64),
             })
-        q_ids, p_ids = queries["vid"].to_numpy(), points["vid"].to_numpy()
+        q_ids, p_ids = queries["vid"].to_numpy(), points["point"].to_numpy()
         r, c, d = nearest(
-            np.stack(queries["vec"].to_numpy()), q_ids, np.stack(points["vec"].to_numpy()), p_ids
+            np.stack(queries["vec"].to_numpy()), q_ids, np.stack(points["at"].to_numpy()), p_ids
         )
         return pd.DataFrame({"vid": q_ids[r], "nbr": p_ids[c], "dist": d})
 

@@ -10,34 +10,27 @@ HOT_FRACTION = 500
 MIN_HOT_ROWS = 100_000
 
 
-def hot_keys(rows: DataFrame, on: list[str], min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys that occur in more than ``max(min_hot_rows, rows / HOT_FRACTION)`` rows."""
-    total = rows.agg(F.count("*").alias("n")).select(
-        F.greatest(F.lit(min_hot_rows), F.col("n") / HOT_FRACTION).alias("n")
-    )
-    return (
-        rows.groupBy(*on).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > total.scalar())
-        .select(*on)
-    )
-
-
 def hot_join(
-    rows: DataFrame, lookup: DataFrame, on: list[str], min_hot_rows: int = MIN_HOT_ROWS,
+    rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner",
+    min_hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Inner join of ``rows`` with ``lookup`` (unique on ``on``) that never shuffles a hot key.
+    """Join ``rows`` with ``lookup``, unique on ``on``, without shuffling rows of a hot key.
 
-    Call it on materialised tables: the key counts are one more pass over ``on``. The at most
-    ``HOT_FRACTION`` hot keys take a map-side join; all other keys take the regular one.
+    The at most ``HOT_FRACTION`` keys with more than ``max(min_hot_rows, rows / HOT_FRACTION)``
+    rows take a map-side join, all others the regular one. ``rows`` should be a written table,
+    because its keys are counted first. ``how`` is "inner" or "left".
     """
-    spark = rows.sparkSession
-    found = hot_keys(rows, on, min_hot_rows).limit(HOT_FRACTION + 1)
+    total = rows.count()
+    threshold = max(min_hot_rows, total // HOT_FRACTION)
+    if total <= threshold:
+        return rows.join(lookup, on, how)
+    counted = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > threshold)
+    found = counted.select(*on)
     keys = found.collect()
     if not keys:
-        return rows.join(lookup, on)
-    hot = spark.createDataFrame(keys, found.schema)
-    warm = rows.join(F.broadcast(hot), on, "left_semi").join(
-        F.broadcast(lookup.join(F.broadcast(hot), on, "left_semi")), on
-    )
-    cold = rows.join(F.broadcast(hot), on, "left_anti").join(lookup, on)
+        return rows.join(lookup, on, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(keys, found.schema))
+    hot_lookup = F.broadcast(lookup.join(hot, on, "left_semi"))
+    warm = rows.join(hot, on, "left_semi").join(hot_lookup, on, how)
+    cold = rows.join(hot, on, "left_anti").join(lookup, on, how)
     return warm.unionByName(cold)
