@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import check, embedding_rows, table
+from checks.registry import check, embedding_rows, named, table
+from topicloom.operators import clusters, embed, layout
+from topicloom.operators.density import density_clusters
+from topicloom.operators.facets import clean
 from topicloom.operators.neighbors import knn_graph as build_knn
+from topicloom.operators.projection import plot_table, reduce_dimensions
+from topicloom.plans.topic_model import TopicParams, fit
+from topicloom.scratch import materialize
 
 KNN_SQL = """
 unit_rows AS (
@@ -26,3 +32,139 @@ knn AS (
 WITH {KNN_SQL} SELECT row_id, nbr_id, rank, round(dist, 6) AS dist FROM knn""")
 def knn_graph(spark, sf_dir):
     return build_knn(embedding_rows(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+
+
+def _half_sum(rows: str) -> str:
+    return f"list_sum(list_transform(d, lambda x: CASE WHEN x <= rho THEN 1.0 ELSE exp(-(x - rho) / {rows}) END))"
+
+
+FUZZY_SQL = KNN_SQL + f""",
+near AS (
+  SELECT row_id, d, log2(len(d)) AS goal,
+    coalesce(list_min(list_filter(d, lambda x: x > 0)), 0) AS rho
+  FROM (SELECT row_id, list(dist ORDER BY dist) AS d FROM knn GROUP BY row_id)),
+bisection AS (
+  SELECT row_id, d, goal, rho, 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high,
+    CAST(1 AS DOUBLE) AS mid FROM near
+  UNION ALL
+  SELECT row_id, d, goal, rho, step + 1, low, high,
+    CASE WHEN high IS NULL THEN mid * 2 ELSE (low + high) / 2 END
+  FROM (
+    SELECT row_id, d, goal, rho, step, mid,
+      CASE WHEN {_half_sum('mid')} > goal THEN low ELSE mid END AS low,
+      CASE WHEN {_half_sum('mid')} > goal THEN mid ELSE high END AS high
+    FROM bisection WHERE step < 32)),
+bands AS (SELECT row_id, rho, greatest(mid, list_avg(d) * 1e-3, 1e-12) AS sigma
+  FROM bisection WHERE step = 32),
+directed AS (
+  SELECT least(k.row_id, nbr_id) AS a, greatest(k.row_id, nbr_id) AS b,
+    CASE WHEN dist <= rho THEN 1.0 ELSE exp(-(dist - rho) / sigma) END AS s
+  FROM knn k JOIN bands b ON k.row_id = b.row_id),
+graph AS (
+  SELECT a, b, CASE WHEN count(*) = 2 THEN max(s) + min(s) - max(s) * min(s) ELSE max(s) END
+    AS weight FROM directed GROUP BY a, b)
+"""
+
+
+@check("fuzzy_graph", f"""
+WITH RECURSIVE {FUZZY_SQL} SELECT a, b, round(weight, 6) AS weight FROM graph""")
+def fuzzy_graph(spark, sf_dir):
+    knn = materialize(build_knn(embedding_rows(spark, sf_dir)), "knn")
+    return layout.fuzzy_graph(knn).withColumn("weight", F.round("weight", 6))
+
+
+LAYOUT_STEPS = 6
+
+
+def _layout_sql() -> str:
+    parts = ["""
+sym AS (SELECT a AS row_id, b AS nbr_id, weight FROM graph UNION ALL SELECT b, a, weight FROM graph),
+nodes AS (SELECT row_id, sum(weight) AS degree FROM sym GROUP BY row_id),
+links AS MATERIALIZED (SELECT s.row_id, s.nbr_id, s.weight / sqrt(n.degree * m.degree) AS weight
+  FROM sym s JOIN nodes n ON s.row_id = n.row_id JOIN nodes m ON s.nbr_id = m.row_id),
+raw0 AS MATERIALIZED (SELECT row_id, sqrt(degree / (SELECT sum(degree) FROM nodes)) AS v0,
+  (((row_id % 100003) * 7919 + 104729) % 10007) / 10007.0 - 0.5 AS x,
+  (((row_id % 100003) * 7921 + 104729) % 10007) / 10007.0 - 0.5 AS y FROM nodes)"""]
+    for i in range(LAYOUT_STEPS + 1):
+        parts.append(f"""
+mom{i} AS MATERIALIZED (SELECT vx, vy, xx - vx * vx AS xx, yy - vy * vy AS yy, xy - vx * vy AS xy
+  FROM (SELECT sum(v0 * x) AS vx, sum(v0 * y) AS vy, sum(x * x) AS xx, sum(y * y) AS yy,
+    sum(x * y) AS xy FROM raw{i})),
+at{i} AS MATERIALIZED (SELECT row_id, v0, (x - vx * v0) / sqrt(xx) AS x,
+  ((y - vy * v0) - xy / xx * (x - vx * v0)) / sqrt(yy - xy * xy / xx) AS y
+  FROM raw{i}, mom{i})""")
+        if i < LAYOUT_STEPS:
+            parts.append(f"""
+raw{i + 1} AS MATERIALIZED (SELECT s.row_id, s.v0, (s.x + p.x) / 2 AS x, (s.y + p.y) / 2 AS y
+  FROM at{i} s JOIN (SELECT l.row_id, sum(l.weight * t.x) AS x, sum(l.weight * t.y) AS y
+    FROM links l JOIN at{i} t ON l.nbr_id = t.row_id GROUP BY l.row_id) p
+  ON s.row_id = p.row_id)""")
+    return ",".join(parts)
+
+
+@check("neighbor_layout", f"""
+WITH RECURSIVE {FUZZY_SQL}, {_layout_sql()}
+SELECT row_id, round(x / v0, 5) AS x, round(y / v0, 5) AS y FROM at{LAYOUT_STEPS}""")
+def neighbor_layout(spark, sf_dir):
+    knn = materialize(build_knn(embedding_rows(spark, sf_dir)), "knn")
+    graph = materialize(layout.fuzzy_graph(knn), "fuzzy")
+    placed = layout.neighbor_layout(graph, iterations=LAYOUT_STEPS)
+    return placed.select("row_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+def documents(spark, sf_dir):
+    return clean(table(spark, sf_dir, "documents"), "text").select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("review"), "lang"
+    )
+
+
+def text_vectors(spark, sf_dir):
+    """Five centred components of the hashed TF-IDF vectors, written once."""
+    vectors = materialize(
+        embed.hashed_tfidf(documents(spark, sf_dir), "review").select("row_id", "lang", "features"),
+        "features",
+    )
+    return materialize(
+        reduce_dimensions(vectors, "features", 5).select("row_id", "lang", "reduced"), "reduced"
+    )
+
+
+@check("embed_documents")
+def embed_documents(spark, sf_dir):
+    return embed.embed_documents(documents(spark, sf_dir), "review")
+
+
+@check("kmeans_topics")
+def kmeans_topics(spark, sf_dir):
+    return clusters.kmeans_topics(text_vectors(spark, sf_dir), "reduced", 10, min_size=10).select(
+        "row_id", "topic_id"
+    )
+
+
+@check("density_clusters")
+def density_topics(spark, sf_dir):
+    return density_clusters(text_vectors(spark, sf_dir), "reduced", min_size=10).select(
+        "row_id", "topic_id"
+    )
+
+
+@check("project_2d")
+def project_2d(spark, sf_dir):
+    return plot_table(named(spark, sf_dir), "review", 2)
+
+
+@check("project_3d")
+def project_3d(spark, sf_dir):
+    return plot_table(named(spark, sf_dir), "review", 3)
+
+
+@check("topic_model")
+def topic_model(spark, sf_dir):
+    model = fit(documents(spark, sf_dir), "review")
+    return model.topics.select("row_id", "topic_id", "topic_name")
+
+
+@check("topic_model_kmeans")
+def topic_model_kmeans(spark, sf_dir):
+    model = fit(documents(spark, sf_dir), "review", params=TopicParams(method="kmeans"))
+    return model.topics.select("row_id", "topic_id", "topic_name")
