@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topicloom.scratch import materialize
-from topicloom.skew import hot_join
+from topicloom.skew import hot_join, hot_keys, join_apart
 
 
 def _scramble(c: Column) -> Column:
@@ -30,30 +30,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame, group: str) -> Data
         pairs.union(pairs.select(group, "b", "a")).distinct(), "component-edges"
     )
     pointers: list[DataFrame] = []
-    while not pairs.isEmpty():
+    while count := pairs.count():
         parent = materialize(
             pairs.groupBy(group, "a").agg(F.min("b").alias("low"))
             .select(group, F.col("a").alias("node"), F.least("a", "low").alias("up")),
             "parents",
         )
-        for _ in range(2):
-            above = parent.select(group, F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = materialize(
-                hot_join(parent, above, [group, "up"])
-                .select(group, "node", F.col("top").alias("up")),
-                "parents",
-            )
+        above = parent.select(group, F.col("node").alias("up"), F.col("up").alias("top"))
+        parent = materialize(
+            hot_join(parent, above, [group, "up"])
+            .select(group, "node", F.col("top").alias("up")),
+            "parents",
+        )
         pointers.append(parent)
+        # Both directions of each edge are present, so both ends have the same hot nodes.
+        hot = hot_keys(pairs, [group, "a"], total=count)
         a = parent.select(group, F.col("node").alias("a"), F.col("up").alias("pa"))
         b = parent.select(group, F.col("node").alias("b"), F.col("up").alias("pb"))
-        half = materialize(
-            hot_join(pairs, a, [group, "a"])
-            .select(group, F.col("pa").alias("a"), "b").filter("a <> b").distinct(),
-            "component-edges",
-        )
+        joined = join_apart(join_apart(pairs, a, [group, "a"], hot), b, [group, "b"], hot)
         pairs = materialize(
-            hot_join(half, b, [group, "b"])
-            .select(group, "a", F.col("pb").alias("b")).filter("a <> b").distinct(),
+            joined.select(group, F.col("pa").alias("a"), F.col("pb").alias("b"))
+            .filter("a <> b").distinct(),
             "component-edges",
         )
     start = nodes.select(group, "node", _scramble(F.col("node")).alias("component"))

@@ -14,7 +14,7 @@ from topicloom.functions import text as T
 
 
 def hashed_tfidf(
-    df: DataFrame, text_col: str, dim: int = 1024, language: str = "any",
+    df: DataFrame, text_col: str, dim: int = 512, language: str = "any",
 ) -> DataFrame:
     """``df`` with a sparse unit-length vector column ``features``."""
     words = df.withColumn("_words", T.tokens(T.prepare(F.col(text_col), language), language))
@@ -26,7 +26,7 @@ def hashed_tfidf(
     )
 
 
-def embed_documents(df: DataFrame, text_col: str, dim: int = 1024, language: str = "any") -> DataFrame:
+def embed_documents(df: DataFrame, text_col: str, dim: int = 512, language: str = "any") -> DataFrame:
     """(row_id, embedding) by hashed TF-IDF."""
     return hashed_tfidf(df, text_col, dim, language).select(
         "row_id", vector_to_array("features", "float32").alias("embedding")
