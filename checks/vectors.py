@@ -114,18 +114,15 @@ def neighbor_layout(spark, sf_dir):
 
 def documents(spark, sf_dir):
     return clean(table(spark, sf_dir, "documents"), "text").select(
-        F.col("doc_id").alias("row_id"), F.col("text").alias("review"), "lang"
+        F.col("doc_id").alias("row_id"), F.col("text").alias("review")
     )
 
 
 def text_vectors(spark, sf_dir):
     """Five centred components of the hashed TF-IDF vectors, written once."""
-    vectors = materialize(
-        embed.hashed_tfidf(documents(spark, sf_dir), "review").select("row_id", "lang", "features"),
-        "features",
-    )
+    vectors = materialize(embed.hashed_tfidf(documents(spark, sf_dir), "review"), "features")
     return materialize(
-        reduce_dimensions(vectors, "features", 5).select("row_id", "lang", "reduced"), "reduced"
+        reduce_dimensions(vectors, "features", 5).select("row_id", "reduced"), "reduced"
     )
 
 

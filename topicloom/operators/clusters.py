@@ -22,21 +22,18 @@ def kmeans_topics(
     """``df`` with topic_id: clusters by size, those below ``min_size`` as outliers.
 
     Rows are laid out by key first, so the seeded fit does not depend on how the input was
-    partitioned.
+    partitioned. Give it a written table: the vectors are read for the fit and the result.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = materialize(
+    data = (
         df.select("row_id", array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
-        .repartition(parts, "row_id").sortWithinPartitions("row_id"),
-        "kmeans-input",
+        .repartition(parts, "row_id").sortWithinPartitions("row_id")
     )
-    # A written table may be packed into other splits, so the layout is repeated for the fit.
-    data = laid_out.repartition(parts, "row_id").sortWithinPartitions("row_id")
     model = KMeans(
         k=k, seed=seed, distanceMeasure=measure, featuresCol="_v", predictionCol="topic_id"
     ).fit(data)
-    assigned = model.transform(laid_out).select("row_id", F.col("topic_id").cast("int"))
+    assigned = model.transform(data).select("row_id", F.col("topic_id").cast("int"))
     assigned = materialize(assigned, "kmeans-topics")
     labelled = renumber_topics(small_to_outliers(assigned, min_size))
     return df.join(labelled, "row_id")

@@ -11,19 +11,25 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from topicloom.constants import ENCODE_BATCH
 from topicloom.functions import text as T
+from topicloom.scratch import materialize
 
 
 def hashed_tfidf(
     df: DataFrame, text_col: str, dim: int = 512, language: str = "any",
 ) -> DataFrame:
-    """``df`` with a sparse unit-length vector column ``features``."""
-    words = df.withColumn("_words", T.tokens(T.prepare(F.col(text_col), language), language))
-    counted = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted.select("_tf")).transform(counted)
-    return (
-        Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted)
-        .drop("_words", "_tf", "_tfidf")
+    """(row_id, features): sparse unit-length TF-IDF vectors over hashed words.
+
+    The hashed counts are written first, so the texts are read and split only once although
+    the document frequencies need a pass of their own.
+    """
+    words = df.select(
+        "row_id", T.tokens(T.prepare(F.col(text_col), language), language).alias("_words")
     )
+    hashed = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(words)
+    counted = materialize(hashed.select("row_id", "_tf"), "hashed-counts")
+    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
+    scaled = Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted)
+    return scaled.select("row_id", "features")
 
 
 def embed_documents(df: DataFrame, text_col: str, dim: int = 512, language: str = "any") -> DataFrame:

@@ -66,9 +66,7 @@ def fit(
     hashed TF-IDF. Reports on a refined selection semi-join the result and never refit.
     """
     if embeddings is None:
-        vectors = hashed_tfidf(rows.select("row_id", text_col), text_col).select(
-            "row_id", F.col("features").alias("embedding")
-        )
+        vectors = hashed_tfidf(rows, text_col).withColumnRenamed("features", "embedding")
     else:
         vectors = rows.select("row_id").join(embeddings.select("row_id", "embedding"), "row_id")
     vectors = materialize(vectors, "model-vectors")
