@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topicloom.scratch import materialize
+from topicloom.skew import hot_keys, join_apart
 
 BISECTIONS = 32
 AXES = ["x", "y", "z"]
@@ -73,14 +74,17 @@ def neighbor_layout(graph: DataFrame, components: int = 2, iterations: int = 30)
     """
     axes = AXES[:components]
     edges = graph.select("a", "b", "weight").union(graph.select("b", "a", "weight"))
-    edges = edges.toDF("row_id", "nbr_id", "weight")
+    edges = materialize(edges.toDF("row_id", "nbr_id", "weight"), "both-directions")
     nodes = edges.groupBy("row_id").agg(F.sum("weight").alias("degree"))
     nodes = materialize(nodes, "degrees")
     volume = nodes.agg(F.sum("degree")).first()[0]
     trivial = F.sqrt(F.col("degree") / volume)
     far = nodes.select(F.col("row_id").alias("nbr_id"), F.col("degree").alias("far_degree"))
+    # Many rows may share one neighbour. Both directions are present, so either end serves.
+    hubs = hot_keys(edges, ["nbr_id"])
+    joined = join_apart(join_apart(edges, nodes, ["row_id"], hubs), far, ["nbr_id"], hubs)
     links = materialize(
-        edges.join(nodes, "row_id").join(far, "nbr_id").select(
+        joined.select(
             "row_id", "nbr_id",
             (F.col("weight") / F.sqrt(F.col("degree") * F.col("far_degree"))).alias("weight"),
         ),
@@ -93,7 +97,7 @@ def neighbor_layout(graph: DataFrame, components: int = 2, iterations: int = 30)
     for _ in range(iterations):
         state = _orthonormal(materialize(state, "layout"), axes)
         seen = state.select(F.col("row_id").alias("nbr_id"), *axes)
-        pulled = links.join(seen, "nbr_id").groupBy("row_id").agg(
+        pulled = join_apart(links, seen, ["nbr_id"], hubs).groupBy("row_id").agg(
             *[F.sum(F.col("weight") * F.col(axis)).alias(f"pull_{axis}") for axis in axes]
         )
         state = state.join(pulled, "row_id").select(

@@ -27,11 +27,12 @@ SLACK = 1e-6
 
 @dataclass(frozen=True)
 class SearchSize:
-    """Bounds of one search. Pivots times vector width stays below a few million numbers."""
+    """Bounds of one search. Pivots are a hashed sample, so dense regions get more of them."""
 
     cell_rows: int = 2_000
     block_rows: int = 4_000
-    max_pivots: int = 1_024
+    max_pivots: int = 65_536
+    max_pivot_values: int = 4_000_000
 
 
 def collapse_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,14 +69,17 @@ def neighbors_of_distinct(
     total = distinct.count()
     if total < 2:
         return distinct.sparkSession.createDataFrame([], "vid long, nbr long, dist double")
-    n_pivots = int(min(size.max_pivots, max(1, -(-total // size.cell_rows))))
+    width = len(distinct.select("vec").first()[0])
+    n_pivots = max(1, min(
+        size.max_pivots, size.max_pivot_values // max(1, width), -(-total // size.cell_rows)
+    ))
     picked = distinct.orderBy(F.xxhash64("vid"), "vid").limit(n_pivots).select("vec").collect()
     pivots = np.array([r[0] for r in picked], dtype=np.float64)
 
     # Cell of each vector and its distance to the pivot.
     cells = materialize(
         distinct.select("vid", "vec").mapInPandas(
-            _cell_kernel(pivots, metric), "vid long, vec array<double>, cell int, home double"
+            _cell_kernel(pivots), "vid long, vec array<double>, cell int, home double"
         ),
         "cells",
     )
@@ -87,9 +91,10 @@ def neighbors_of_distinct(
     blocks = np.maximum(1, -(-count // size.block_rows))
 
     # Search inside the own block, which also gives the bound that picks further cells.
-    blocked = cells.withColumn("block", _pmod(F.xxhash64("vid"), _pick(blocks, F.col("cell"))))
+    plan = _per_cell(cells, blocks=blocks)
+    blocked = cells.join(plan, "cell").withColumn("block", _pmod(F.xxhash64("vid"), "blocks"))
     own = materialize(
-        blocked.groupBy("cell", "block").applyInPandas(
+        blocked.select("vid", "vec", "cell", "block").groupBy("cell", "block").applyInPandas(
             _own_block_kernel(pivots, count, radius, blocks, k, metric),
             "vid long, vec array<double>, cell int, block long, "
             "nbrs array<long>, dists array<double>, targets array<int>",
@@ -106,20 +111,22 @@ def neighbors_of_distinct(
         load[row["target"]] = row["count"]
     if load.any():
         lanes = np.maximum(1, -(-load // size.block_rows))
+        plan = _per_cell(cells, blocks=blocks, lanes=lanes, load=load)
         queries = (
             own.select("vid", "vec", F.explode("targets").alias("target"), "cell", "block")
-            .withColumn("visit", F.explode(F.sequence(F.lit(0), _pick(blocks - 1, F.col("target")))))
+            .join(plan.withColumnRenamed("cell", "target"), "target")
+            .withColumn("visit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             .filter((F.col("target") != F.col("cell")) | (F.col("visit") != F.col("block")))
             .select(
                 "vid", "vec", F.col("target").alias("cell"), F.col("visit").alias("block"),
-                _pmod(F.xxhash64("vid", F.lit(5)), _pick(lanes, F.col("target"))).alias("lane"),
+                _pmod(F.xxhash64("vid", F.lit(5)), "lanes").alias("lane"),
             )
         )
         # Renamed, because both sides stem from one table and must not share columns.
-        points = own.filter(_pick(load, F.col("cell")) > 0).select(
+        points = own.join(plan.filter("load > 0"), "cell").select(
             F.col("vid").alias("point"), F.col("vec").alias("at"),
             F.col("cell").alias("cell"), F.col("block").alias("block"),
-            F.explode(F.sequence(F.lit(0), _pick(lanes - 1, F.col("cell")))).alias("lane"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"),
         )
         on = ["cell", "block", "lane"]
         edges = edges.union(
@@ -179,23 +186,29 @@ def knn_graph(
     )
 
 
-def _pick(values: np.ndarray, index: Column) -> Column:
-    """Entry of a short driver-side array, one per pivot."""
-    return F.get(F.lit([int(v) for v in values]), index)
+def _per_cell(cells: DataFrame, **values: np.ndarray) -> DataFrame:
+    """Numbers per cell as a table; at most one row per pivot, so it can be broadcast."""
+    table = pd.DataFrame({name: v.astype(np.int64) for name, v in values.items()})
+    table.insert(0, "cell", np.arange(len(table), dtype=np.int32))
+    return F.broadcast(cells.sparkSession.createDataFrame(table))
 
 
-def _pmod(value: Column, n: Column) -> Column:
-    return F.pmod(value, n.cast("long"))
+def _pmod(value: Column, n: str) -> Column:
+    return F.pmod(value, F.col(n))
 
 
-def _cell_kernel(pivots: np.ndarray, metric: str):
+def _cell_kernel(pivots: np.ndarray):
+    half = (pivots ** 2).sum(1) / 2
+
     def kernel(batches):
         for pdf in batches:
             x = np.stack(pdf["vec"].to_numpy())
-            squares = (
-                (x ** 2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots ** 2).sum(1)[None, :]
-            )
-            cell = squares.argmin(1)
+            cell = np.zeros(len(x), dtype=np.int64)
+            step = max(1, (1 << 22) // len(pivots))
+            for start in range(0, len(x), step):
+                part = x[start:start + step]
+                # The squared length of the row does not change which pivot is nearest.
+                cell[start:start + step] = (half - part @ pivots.T).argmin(1)
             home = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
             yield pdf.assign(cell=cell.astype(np.int32), home=home)
 
@@ -263,7 +276,7 @@ def _own_block_kernel(pivots, count, radius, blocks, k: int, metric: str):
             gaps = between[cell]
         else:
             gaps = np.sqrt(((pivots - pivots[cell]) ** 2).sum(1))
-        step = max(1, (1 << 22) // pivots.size)
+        step = max(1, (1 << 22) // len(pivots))
         for start in range(0, len(x), step):
             part = x[start:start + step]
             to = np.sqrt(np.maximum(
