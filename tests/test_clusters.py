@@ -112,3 +112,16 @@ def test_topic_merges_agree_between_matrix_and_rounds(spark):
     ]
     assert results[0] == results[1]
     assert len({new for _, new in results[0]}) == 3
+
+
+def test_similarity_of_topics(spark):
+    from topicloom.operators.weights import topic_similarity
+
+    rows = [(0, "a", 3.0), (0, "b", 4.0), (1, "a", 1.0), (1, "c", 2.0), (2, "d", 5.0)]
+    df = spark.createDataFrame(rows, "topic_id int, term string, weight double")
+    got = {(r[0], r[1]): r[2] for r in topic_similarity(df).collect()}
+    assert got.keys() == {(0, 1), (0, 2), (1, 2)}
+    assert abs(got[0, 1] - 3 / (5 * 5 ** 0.5)) < 1e-12
+    assert got[0, 2] == got[1, 2] == 0.0
+    apart = topic_similarity(df.filter("term IN ('b', 'c', 'd')")).collect()
+    assert len(apart) == 3 and all(r["similarity"] == 0.0 for r in apart)

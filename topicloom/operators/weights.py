@@ -98,8 +98,8 @@ def keyword_lists(keywords: DataFrame) -> DataFrame:
 def gramian(vectors: DataFrame, topic_ids: Sequence[int]) -> DataFrame:
     """(a, b, g) with a <= b: inner products of topics over their terms.
 
-    Each task adds its terms into one small topic-by-topic matrix, so no pair of topics is
-    emitted per term.
+    Each task adds its shared terms into one small topic-by-topic matrix, so no pair of topics
+    is emitted per term. The many terms of a single topic only count towards its own square.
     """
     if len(topic_ids) > MAX_MATRIX_TOPICS:
         raise ValueError(f"more than {MAX_MATRIX_TOPICS} topics")
@@ -119,21 +119,33 @@ def gramian(vectors: DataFrame, topic_ids: Sequence[int]) -> DataFrame:
                 block = np.zeros((len(part), size))
                 block[rows, cols] = np.concatenate(part["values"].to_numpy())
                 total += block.T @ block
-        a, b = np.triu_indices(size)
+        a, b = np.nonzero(np.triu(total, 1))
         yield pd.DataFrame({"a": ids[a], "b": ids[b], "g": total[a, b]})
 
     per_term = (
         vectors.groupBy("term")
         .agg(F.collect_list(F.struct("topic_id", "value")).alias("s"))
+        .filter(F.size("s") > 1)
         .select(
             F.col("s.topic_id").cast("array<bigint>").alias("topics"),
             F.col("s.value").alias("values"),
         )
     )
-    return (
-        per_term.mapInPandas(accumulate, "a bigint, b bigint, g double")
+    # Topics without a common term have a product too.
+    i, j = np.triu_indices(size, 1)
+    zeros = vectors.sparkSession.createDataFrame(
+        pd.DataFrame({"a": ids[i], "b": ids[j], "g": np.zeros(len(i))}),
+        "a bigint, b bigint, g double",
+    )
+    pairs = (
+        per_term.mapInPandas(accumulate, "a bigint, b bigint, g double").unionByName(zeros)
         .groupBy("a", "b").agg(F.sum("g").alias("g"))
     )
+    topic = F.col("topic_id").cast("bigint")
+    squares = vectors.groupBy(topic.alias("a"), topic.alias("b")).agg(
+        F.sum(F.col("value") * F.col("value")).alias("g")
+    )
+    return pairs.unionByName(squares)
 
 
 def topic_similarity(weights: DataFrame) -> DataFrame:
