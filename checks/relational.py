@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from checks.registry import (
-    GIVEN_SQL, NA_SQL, NAMED_SQL, REVIEWS_SQL, check, embedding_rows, given, given_names,
+    GIVEN_SQL, NA_SQL, NAMED_SQL, REVIEWS_SQL, check, embedding_rows, given,
     has_text_sql, named, raw_reviews, sql_list, table,
 )
 from topicloom.constants import NA_TOKENS
@@ -469,6 +469,3 @@ def filter_fingerprint(spark, sf_dir):
     return chosen.select("lang", reuse.fingerprint(F.create_map(
         F.lit("drug"), F.col("sources"), F.lit("age"), F.array("lang")
     )).alias("fingerprint"))
-
-
-__all__ = ["cleaned", "given_names", "reviews"]

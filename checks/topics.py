@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import (
     COUNTS_SQL, GIVEN_SQL, KEYWORDS_SQL, NAMED_SQL, STOP_SQL, WEIGHTS_SQL, check, given,
-    given_names, named, table,
+    named, table,
 )
 from topicloom.constants import ENGLISH_STOP_WORDS, OUTLIER_NAME
 from topicloom.functions import text as T
@@ -338,6 +338,3 @@ def topic_details(spark, sf_dir):
     rows = named(spark, sf_dir)
     keywords = weights.topic_keywords(fitted(spark, sf_dir))
     return reports.topic_details(rows, keywords, "review")
-
-
-__all__ = ["fitted", "given_names"]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from topicloom.constants import KEYWORDS_IN_DETAIL, OUTLIER_ID, SAMPLES_IN_DETAIL
 from topicloom.functions.numeric import one_decimal
-from topicloom.operators.joins import topic_id_by_name
 
 
 def drop_outliers(topics: DataFrame) -> DataFrame:
@@ -103,9 +102,3 @@ def topic_details(
     )
     samples = topic_samples(topics, text_col, n).drop("row_id")
     return counts.join(words, "topic_id", "left").join(samples, "topic_name")
-
-
-__all__ = [
-    "drop_outliers", "legend_order", "summary_stats", "topic_details", "topic_distribution",
-    "topic_id_by_name", "topic_ids", "topic_samples", "topic_share",
-]

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from topicloom.constants import ENGLISH_STOP_WORDS, KEYWORDS_IN_DETAIL
 from topicloom.functions import text as T
-from topicloom.operators.joins import lookup
 from topicloom.scratch import materialize
 
 # Up to this many topics the topic-by-topic matrix is small enough for one task and the driver.
@@ -170,9 +169,3 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
 def _topic_ids(weights: DataFrame) -> list[int]:
     found = weights.select("topic_id").distinct().limit(MAX_MATRIX_TOPICS + 1).collect()
     return sorted(r[0] for r in found)
-
-
-__all__ = [
-    "class_term_counts", "ctfidf", "gramian", "keyword_lists", "lookup", "topic_keywords",
-    "topic_similarity", "with_terms",
-]

@@ -127,6 +127,3 @@ def _sizes(rows: DataFrame, params: TopicParams) -> tuple[int, int]:
     n_topics = row["n_topics"] if params.n_topics is None else params.n_topics
     min_size = row["min_topic_size"] if params.min_topic_size is None else params.min_topic_size
     return n_topics, min_size
-
-
-__all__ = ["TooFewRows", "TopicModel", "TopicParams", "fit"]
