@@ -125,11 +125,13 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def order_of(docs: DataFrame) -> DataFrame:
-    """Written KEY, n_chars, _many, and the key and half length of the document before."""
+    """Written KEY, doc_id, n_chars, _many, and the key and half length of the document before."""
     distinct = materialize(
         keyed(docs).select(
-            *KEY, F.col("doc_id").isNotNull().alias("_some"), F.char_length("text").alias("n_chars")
-        ).groupBy("_some", *KEY).agg(F.first("n_chars").alias("n_chars"), F.count("*").alias("_many")),
+            *KEY, "doc_id", F.col("doc_id").isNotNull().alias("_some"), F.char_length("text").alias("n_chars")
+        ).groupBy("_some", *KEY).agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.count("*").alias("_many")
+        ),
         "cws-keys",
     )
     full = materialize(ranked(distinct, [F.col(c) for c in ("_some", *KEY)], "_rank"), "cws-order")
@@ -144,22 +146,22 @@ def order_of(docs: DataFrame) -> DataFrame:
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     order = order_of(docs)
-    rows = keyed(docs)
+    # Key and text only, so that both uses of the rows are the same plan and share one exchange.
+    rows = keyed(docs).select(*KEY, "text")
     if order.filter("_many > 1").take(1):
         rows = rows.dropDuplicates(KEY)
-    # Both uses of the rows share one exchange by key.
     starts = rows.join(order.select(*KEY, "_p1", "_p2", "_half"), KEY).select(
         F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.expr("substring(text, 1, _half)").alias("_start")
     )
     half = F.floor(F.char_length("text") / 2).cast("int")
     texts = rows.join(starts, KEY).select(
-        *KEY, "doc_id", "text",
+        *KEY, "text",
         F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.col("_start")).alias("edited"),
     )
-    facts = texts.select(*KEY, "doc_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    facts = texts.select(*KEY, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     prints = materialize(
         facts.join(signatures(texts.select(*KEY, "text", "edited"), samples), KEY, "left").select(
-            *KEY, "doc_id", "edited_sha256", _text(0, samples).alias("fingerprint"),
+            *KEY, "edited_sha256", _text(0, samples).alias("fingerprint"),
             _text(1, samples).alias("edited_fingerprint"),
         ),
         "cws-prints",
@@ -168,7 +170,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.col("fingerprint").alias("_next")
     )
     return (
-        prints.join(order.select(*KEY, "n_chars", "_many"), KEY).join(follows, KEY)
+        prints.join(order.select(*KEY, "doc_id", "n_chars", "_many"), KEY).join(follows, KEY)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_many"))))
         .select(
             "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint",
