@@ -71,45 +71,59 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _kneser_ney(words: list[str], counts: np.ndarray, characters: int):
-    """Per order: sorted n-grams with probability, their contexts with back-off weight.
+@dataclass
+class Counts:
+    """The n-grams of one order in one language: hashes of all, of the context before the last
+    character and of the suffix after the first, whether a word begins here, occurrences."""
+
+    keys: np.ndarray
+    contexts: np.ndarray
+    suffixes: np.ndarray
+    begins: np.ndarray
+    raw: np.ndarray
+
+    @classmethod
+    def of(cls, grams: list[str], raw: np.ndarray, order: int) -> Counts:
+        codes = np.array([ord(c) for g in grams for c in g], np.uint32)
+        codes = codes.astype(np.uint64).reshape(len(grams), order) + np.uint64(1)
+
+        def hashed(columns: range) -> np.ndarray:
+            h = np.zeros(len(grams), np.uint64)
+            for c in columns:
+                h = h * MULT + codes[:, c]
+            return h
+
+        keys = hashed(range(order))
+        by = np.argsort(keys)
+        return cls(
+            keys[by], hashed(range(order - 1))[by], hashed(range(1, order))[by],
+            (codes[:, 0] == START + 1)[by], np.asarray(raw, np.float64)[by],
+        )
+
+
+def _kneser_ney(orders: list[Counts], characters: int):
+    """Per order: probabilities of its n-grams, their contexts with back-off weight.
 
     Below single characters stands an even share for all ``characters`` and the unknown one.
     """
-    orders, place, word = _grams(words)
-    weight = counts[word].astype(np.float64)
-    grams, adjusted, ends = [], [], []
-    for k in range(1, ORDER + 1):
-        valid = (place >= 1) & (place >= k - 1)
-        at = np.flatnonzero(valid)
-        keys, first, inverse = np.unique(orders[k - 1][at], return_index=True, return_inverse=True)
-        grams.append(keys)
-        ends.append(at[first])
-        raw = np.bincount(inverse, weights=weight[at], minlength=len(keys))
-        adjusted.append(np.where((place[at[first]] == k - 1) | (k == ORDER), raw, 0.0))
-    for k in range(ORDER - 1, 0, -1):
-        # Below the highest order an n-gram counts the different characters before it.
-        end = ends[k]
-        suffix = _find(grams[k - 1], orders[k - 1][end])
-        adjusted[k - 1] += np.bincount(suffix[suffix >= 0], minlength=len(grams[k - 1])) * (
-            adjusted[k - 1] == 0
-        )
     found = []
-    lower = None
-    for k in range(1, ORDER + 1):
-        a, end = adjusted[k - 1], ends[k - 1]
-        context = orders[k - 2][end - 1] if k > 1 else np.zeros(len(a), np.uint64)
-        contexts, inverse = np.unique(context, return_inverse=True)
+    lower = np.zeros(0)
+    for k, own in enumerate(orders, 1):
+        if k < len(orders):
+            # Below the highest order an n-gram counts the different characters before it.
+            longer = _find(own.keys, orders[k].suffixes)
+            before = np.bincount(longer[longer >= 0], minlength=len(own.keys))
+            a = np.where(own.begins, own.raw, before)
+        else:
+            a = own.raw
+        contexts, inverse = np.unique(own.contexts, return_inverse=True)
         total, kinds = np.bincount(inverse, weights=a), np.bincount(inverse)
         once, twice = (a == 1).sum(), (a == 2).sum()
         discount = once / (once + 2 * twice) if once and twice else 0.5
         back = discount * kinds / total
-        if k == 1:
-            below = np.full(len(a), 1.0 / (characters + 1))
-        else:
-            below = lower[_find(grams[k - 2], orders[k - 2][end])]
+        below = lower[_find(orders[k - 2].keys, own.suffixes)] if k > 1 else 1.0 / (characters + 1)
         lower = np.maximum(a - discount, 0) / total[inverse] + back[inverse] * below
-        found.append((grams[k - 1], lower, contexts, back))
+        found.append((own.keys, lower, contexts, back))
     return found
 
 
@@ -149,30 +163,27 @@ class Models:
         return sums, np.bincount(word[at], minlength=len(words))
 
 
-def build(counts: dict[str, tuple[list[str], np.ndarray]]) -> Models:
-    """Joint arrays from the word counts of each language."""
+def build(counts: dict[str, list[Counts]]) -> Models:
+    """Joint arrays from the n-gram counts of each language, orders from 1."""
     languages = sorted(counts)
-    all_orders, place, _ = _grams([w for x in languages for w in counts[x][0]])
-    characters = len(np.unique(all_orders[0][place >= 1]))
-    single = [_kneser_ney(*counts[x], characters) for x in languages]
+    characters = len(np.unique(np.concatenate([counts[x][0].keys for x in languages])))
+    single = [_kneser_ney(counts[x], characters) for x in languages]
     models = Models(languages, [], [], [], [], np.zeros(len(languages)), {})
-    unknown = []
     for k in range(1, ORDER + 1):
-        at = np.flatnonzero((place >= 1) & (place >= k - 1))
-        keys, first = np.unique(all_orders[k - 1][at], return_index=True)
-        end = at[first]
-        context = all_orders[k - 2][end - 1] if k > 1 else np.zeros(len(keys), np.uint64)
+        every = [counts[x][k - 1] for x in languages]
+        keys, first = np.unique(np.concatenate([c.keys for c in every]), return_index=True)
+        context = np.concatenate([c.contexts for c in every])[first]
         contexts = np.unique(context)
         logs, backs = np.empty((len(keys), len(languages))), np.zeros((len(contexts), len(languages)))
         if k > 1:
-            suffix = _find(models.grams[k - 2], all_orders[k - 2][end])
+            suffix = _find(models.grams[k - 2], np.concatenate([c.suffixes for c in every])[first])
         for i, model in enumerate(single):
             own, p, own_contexts, back = model[k - 1]
             c = _find(own_contexts, contexts)
             backs[c >= 0, i] = np.log(back[c[c >= 0]])
             if k == 1:
-                unknown.append(backs[0, i] - np.log(characters + 1))
-                logs[:, i] = unknown[-1]
+                models.unknown[i] = backs[0, i] - np.log(characters + 1)
+                logs[:, i] = models.unknown[i]
             else:
                 logs[:, i] = backs[_find(contexts, context), i] + models.logs[k - 2][suffix, i]
             hit = _find(own, keys)
@@ -181,12 +192,36 @@ def build(counts: dict[str, tuple[list[str], np.ndarray]]) -> Models:
         models.logs.append(logs)
         models.contexts.append(contexts)
         models.backs.append(backs)
-    models.unknown = np.array(unknown)
     return models
 
 
+def count(sample: DataFrame) -> dict[str, list[Counts]]:
+    """n-gram counts per language of (lang, text), counted by Spark."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    marked = F.concat(F.lit(chr(START)), "word", F.lit(chr(END)))
+    distinct = (
+        sample.select("lang", F.explode(words).alias("word"))
+        .groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("marked", marked)
+    )
+    ends = distinct.select(
+        "lang", "n", "marked", F.explode(F.sequence(F.lit(2), F.char_length("marked"))).alias("end")
+    )
+    each = F.array(*[
+        F.when(F.col("end") >= k, F.substring("marked", F.col("end") - k + 1, F.lit(k)))
+        for k in range(1, ORDER + 1)
+    ])
+    grams = ends.select("lang", "n", F.explode(each).alias("gram")).filter("gram is not null")
+    rows = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    rows["k"] = rows["gram"].str.len()
+    found: dict[str, list[Counts]] = {}
+    for lang, part in rows.groupby("lang"):
+        by_order = [part[part["k"] == k] for k in range(1, ORDER + 1)]
+        found[lang] = [Counts.of(list(g["gram"]), g["n"].to_numpy(), k) for k, g in enumerate(by_order, 1)]
+    return found
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Models:
-    """Fit on labelled rows that are not held out; the driver gets word counts of the sample."""
+    """Fit on labelled rows that are not held out; the driver gets the sample's n-gram counts."""
     labelled = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
         & ~held_out(F.col("doc_id"))
@@ -201,14 +236,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Models:
     sample = materialize(
         labelled.filter(dice < share[F.col("lang")]).select("doc_id", "text", "lang"), "language-sample"
     )
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
-    rows = (
-        sample.select("lang", F.explode(words).alias("word"))
-        .groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
-    )
-    counts = {
-        lang: (list(part["word"]), part["n"].to_numpy()) for lang, part in rows.groupby("lang")
-    }
+    counts = count(sample)
     models = build(counts) if counts else Models([], [], [], [], [], np.zeros(0), {})
     if counts:
         scored = predict(sample.select("doc_id", "text"), models).filter("lang_pred <> 'und'")
