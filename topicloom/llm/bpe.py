@@ -30,9 +30,9 @@ from topicloom.llm.common import slices
 
 END = "</w>"
 #: Pieces that one task remembers before it starts anew, and bytes of the longest of them.
-MEMORY, PIECE = 1_000_000, 256
+MEMORY, PIECE = 300_000, 256
 #: Bytes of text that are encoded together.
-TOGETHER = 16 << 20
+TOGETHER = 6 << 20
 #: Symbols up to which a word is merged by a plain scan.
 SHORT = 32
 #: Words of lower-case printable ASCII: the tokenizer's split without its Unicode classes.

@@ -18,7 +18,6 @@ order; repeated rows are each returned; an empty table gives no rows; extra colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +38,8 @@ REJECT_SPREAD = 6.0
 #: Characters after which the score no longer sharpens.
 SCORE_CHARS = 100
 START, END = 2, 3
+#: Bytes of text, and different words, that one step of scoring holds.
+TOGETHER, WORDS = 6 << 20, 40_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -248,8 +249,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Models:
     return models
 
 
-def _score(batch: pa.RecordBatch, models: Models) -> pa.RecordBatch:
-    texts = batch.column(1).fill_null("")
+def _score(texts: pa.Array, models: Models) -> pa.StructArray:
     pieces = pc.ascii_split_whitespace(texts)
     coded = pc.dictionary_encode(pieces.flatten())
     offsets = pieces.offsets.to_numpy()
@@ -264,7 +264,8 @@ def _score(batch: pa.RecordBatch, models: Models) -> pa.RecordBatch:
     doc = np.repeat(np.arange(n), np.diff(offsets))
     totals, chars = np.zeros((n, len(languages))), np.zeros(n)
     if words and languages:
-        sums, lengths = models.word_scores(words)
+        scored = [models.word_scores(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+        sums, lengths = (np.concatenate(x) for x in zip(*scored))
         count = np.bincount(owner, weights=lengths[index], minlength=len(kinds))
         chars = np.bincount(doc, weights=count[codes], minlength=n)
         for i in range(len(languages)):
@@ -281,30 +282,30 @@ def _score(batch: pa.RecordBatch, models: Models) -> pa.RecordBatch:
     else:
         best, lowest, score, limit = np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n)
     names = np.array([*languages, "und"], dtype=object)
-    return pa.RecordBatch.from_arrays([
-        batch.column(0),
+    return pa.StructArray.from_arrays([
         pa.array(names[np.where(found, best, len(languages))], pa.string()),
         pa.array(np.where(found, score, 0.0), pa.float64()),
         pa.array(np.where(found, lowest, 0.0), pa.float64(), mask=~found),
         pa.array(~found | (lowest > limit), pa.bool_()),
-    ], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+    ], names=["lang_pred", "score", "cross_entropy", "rejected"])
 
 
-def predict(docs: DataFrame, models: Models, key: str = "doc_id") -> DataFrame:
-    """key, lang_pred, score, cross_entropy, rejected; reads the text alone."""
+def guess(docs: DataFrame, models: Models) -> Column:
+    """Column of lang_pred, score, cross_entropy, rejected; only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, 16 << 20):
-                yield _score(part, shared.value)
+    @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [_score(part.column(0), shared.value) for part in slices(batch, 0, TOGETHER)]
+        return pa.concat_arrays(parts) if parts else _score(texts, shared.value)
 
-    kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string")).mapInArrow(
-        run,
-        f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean",
-    )
-    return scored if key == "doc_id" else scored.withColumnRenamed("doc_id", key)
+    return run(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def predict(docs: DataFrame, models: Models) -> DataFrame:
+    """doc_id, lang_pred, score, cross_entropy, rejected."""
+    return docs.select("doc_id", guess(docs, models).alias("_guess")).select("doc_id", "_guess.*")
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -316,6 +317,5 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 def recognised(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents whose language is recognised, with their own columns."""
     models = fit(docs, sample_rows)
-    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc_id"), "text")
-    kept = predict(packed, models).filter(~F.col("rejected"))
-    return kept.select("doc_id.*")
+    marked = docs.withColumn("_rejected", guess(docs, models)["rejected"])
+    return marked.filter(~F.col("_rejected")).drop("_rejected")
