@@ -30,9 +30,9 @@ from topicloom.llm.common import slices
 
 END = "</w>"
 #: Pieces that one task remembers before it starts anew, and bytes of the longest of them.
-MEMORY, PIECE = 300_000, 256
+MEMORY, PIECE = 150_000, 256
 #: Bytes of text that are encoded together.
-TOGETHER = 6 << 20
+TOGETHER = 3 << 20
 #: Symbols up to which a word is merged by a plain scan.
 SHORT = 32
 #: Words of lower-case printable ASCII: the tokenizer's split without its Unicode classes.
@@ -291,6 +291,10 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
                     [part.column(0), *[pa.array(c) for c in cells]],
                     names=["doc_id", *[f"c{i}" for i in range(len(cells))]],
                 )
+            pa.default_memory_pool().release_unused()
+        # The worker may serve other tasks next.
+        coder.pieces.clear()
+        coder.words.clear()
 
     kind = types["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")

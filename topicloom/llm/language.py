@@ -39,7 +39,7 @@ REJECT_SPREAD = 6.0
 SCORE_CHARS = 100
 START, END = 2, 3
 #: Bytes of text, and different words, that one step of scoring holds.
-TOGETHER, WORDS = 6 << 20, 40_000
+TOGETHER, WORDS = 3 << 20, 20_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -298,6 +298,7 @@ def guess(docs: DataFrame, models: Models) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
         parts = [_score(part.column(0), shared.value) for part in slices(batch, 0, TOGETHER)]
+        pa.default_memory_pool().release_unused()
         return pa.concat_arrays(parts) if parts else _score(texts, shared.value)
 
     return run(F.coalesce(F.col("text").cast("string"), F.lit("")))
