@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from topicloom.llm.common import slices
+from topicloom.llm.common import slices, small_batches
 
 END = "</w>"
 #: Pieces that one task remembers before it starts anew, and bytes of the longest of them.
@@ -279,6 +279,7 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
     with open(path or default_path(), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     types = docs.select("doc_id").schema
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(shared.value)

@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return found.select(*columns) if columns else found
 
 
+#: Rows of a record batch of whole texts that a Python worker holds at once.
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts go to Python in small batches; a session's own setting stays."""
+    if spark.conf.get(BATCH_CONF) == "10000":  # Spark's default
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
     """Add a gapless global rank from 0 in ``order``, without putting all rows in one task.
 

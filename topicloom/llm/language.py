@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from topicloom.llm.common import slices
+from topicloom.llm.common import slices, small_batches
 from topicloom.scratch import materialize
 
 ORDER = 4
@@ -292,6 +292,7 @@ def _score(texts: pa.Array, models: Models) -> pa.StructArray:
 
 def guess(docs: DataFrame, models: Models) -> Column:
     """Column of lang_pred, score, cross_entropy, rejected; only the text goes to Python."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from topicloom.llm.common import slices
+from topicloom.llm.common import slices, small_batches
 from topicloom.operators.components import connected_components
 from topicloom.scratch import materialize
 
@@ -95,6 +95,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int, words: int, bands: bool) -> DataFrame:
     """doc_id, text_hash, words (array<long>), keys (array<long>, bands or null)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
