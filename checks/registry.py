@@ -80,12 +80,14 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Given topics: documents with the label of their embedding as topic, 0 meaning outlier.
+# Given topics: all documents, with the label of their embedding as topic, else a digit of the
+# id; 0 means outlier. Queries on vectors keep the rows that have one.
 
 GIVEN_SQL = """
 given AS (
-  SELECT d.doc_id AS row_id, d.text AS review, d.lang AS age, e.label - 1 AS topic_id, e.embedding
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)
+  SELECT d.doc_id AS row_id, d.text AS review, d.lang AS age,
+    coalesce(e.label, d.doc_id % 10) - 1 AS topic_id, e.embedding
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)
 """
 
 NAMED_SQL = GIVEN_SQL + f""",
@@ -99,11 +101,12 @@ named AS (SELECT g.*, n.topic_name FROM given g LEFT JOIN names n ON g.topic_id
 
 def given(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), (F.col("label") - 1).alias("topic_id"), "embedding"
+        F.col("vec_id").alias("doc_id"), "label", "embedding"
     )
-    return table(spark, sf_dir, "documents").join(e, "doc_id").select(
+    topic = F.coalesce("label", F.col("doc_id") % 10) - 1
+    return table(spark, sf_dir, "documents").join(e, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("review"),
-        F.col("lang").alias("age"), "topic_id", "embedding",
+        F.col("lang").alias("age"), topic.alias("topic_id"), "embedding",
     )
 
 

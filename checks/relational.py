@@ -99,7 +99,7 @@ def export_results(spark, sf_dir):
     path = new_path(spark, "export-csv")
     tables.export_csv(named(spark, sf_dir), "review", path)
     return tables.read_csv(
-        spark, path, schema="review_text string, topic_id int, topic_name string"
+        spark, path, schema="review_text string, topic_id int, topic_name string", normalize=False
     )
 
 

@@ -212,7 +212,7 @@ centroids AS (SELECT topic_id, i, avg(x) AS m FROM cells GROUP BY 1, 2)
 SELECT c.row_id, c.topic_id, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 6) AS strength
 FROM cells c JOIN centroids t ON c.topic_id = t.topic_id AND c.i = t.i GROUP BY 1, 2""")
 def assignment_strength(spark, sf_dir):
-    return clusters.assignment_strength(given(spark, sf_dir)).withColumn(
+    return clusters.assignment_strength(given(spark, sf_dir).filter("embedding IS NOT NULL")).withColumn(
         "strength", F.round("strength", 6)
     )
 
@@ -248,13 +248,12 @@ WITH {GIVEN_SQL}, {_NAMES_SQL}, {_FIRST_SQL},
 joined AS (SELECT topic_id, string_agg(i || '. ' || review, chr(10) ORDER BY i) AS samples
   FROM first_rows GROUP BY topic_id)
 SELECT j.topic_id,
-  'Reviews were grouped into a topic with these keywords: '
-    || array_to_string(words[1:6], ', ') || '.' || chr(10)
-    || 'Answer with a plain name for it of at most five words and nothing else.'
+  'Strongest terms of one group of texts: '
+    || array_to_string(words[1:6], ', ') || chr(10) || 'Give this group a short title.'
     AS name_prompt,
-  'Topic: ' || topic_name || chr(10) || 'Keywords: ' || array_to_string(words[1:6], ', ')
-    || chr(10) || 'Reviews:' || chr(10) || samples || chr(10)
-    || 'Summarise the main concerns, the sentiment, the experiences and what providers can learn.'
+  'Group ' || topic_name || ', strongest terms: ' || array_to_string(words[1:6], ', ')
+    || chr(10) || 'Some of its texts:' || chr(10) || samples || chr(10)
+    || 'In one paragraph, say what these texts share and where they differ.'
     AS summary_prompt
 FROM joined j JOIN topic_names n ON j.topic_id = n.topic_id""")
 def topic_prompts(spark, sf_dir):
@@ -297,10 +296,10 @@ def names_to_compute(spark, sf_dir):
 
 
 @check("extractive_summary", f"""
-WITH {GIVEN_SQL}, {WEIGHTS_SQL}, {_FIRST_SQL},
+WITH {GIVEN_SQL}, {WEIGHTS_SQL},
 pieces AS (SELECT topic_id, row_id, list_filter(list_transform(
   regexp_split_to_array(review, '[.!?\\n]+'), lambda s: trim(s)), lambda s: s <> '') AS s
-  FROM first_rows),
+  FROM given WHERE topic_id <> -1),
 sentences AS (SELECT topic_id, row_id, unnest(range(1, len(s) + 1)) AS sentence_no,
   unnest(s) AS sentence FROM pieces),
 sprep AS (SELECT * EXCLUDE (p), CASE WHEN p = '' THEN 'emptydoc' ELSE p END AS p FROM (

@@ -147,12 +147,14 @@ def density_topics(spark, sf_dir):
 
 @check("project_2d")
 def project_2d(spark, sf_dir):
-    return plot_table(named(spark, sf_dir), "review", 2)
+    rows = named(spark, sf_dir).filter("embedding IS NOT NULL")
+    return plot_table(materialize(rows, "plot-rows"), "review", 2)
 
 
 @check("project_3d")
 def project_3d(spark, sf_dir):
-    return plot_table(named(spark, sf_dir), "review", 3)
+    rows = named(spark, sf_dir).filter("embedding IS NOT NULL")
+    return plot_table(materialize(rows, "plot-rows"), "review", 3)
 
 
 @check("topic_model")

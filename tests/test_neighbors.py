@@ -48,3 +48,19 @@ def test_fewer_rows_than_neighbours(spark):
     )
     rows = {(r["row_id"], r["nbr_id"], r["rank"]) for r in knn_graph(df, k=5).collect()}
     assert rows == {(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2)}
+
+
+def test_near_copies_give_the_same_lists_for_any_cell_size(spark):
+    """Distances that tie after rounding go by id, also where cells are ruled out."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=16)
+    rows = []
+    for i in range(200):
+        v = base + rng.normal(size=16) * 2e-6
+        rows.append((i, [float(x) for x in v / np.linalg.norm(v)]))
+    vectors = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    found = []
+    for size in (SearchSize(20, 7), SearchSize()):
+        graph = knn_graph(vectors, 4, size=size)
+        found.append(sorted((r[0], r[1]) for r in graph.select(*graph.columns[:2]).collect()))
+    assert found[0] == found[1]

@@ -187,3 +187,14 @@ def test_too_few_rows(spark):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "row_id long, review string")
     with pytest.raises(TooFewRows):
         fit(df, "review")
+
+
+def test_facet_values_are_cast_alike_for_any_number(spark):
+    from topicloom.operators.facets import facet_filter
+
+    rows = spark.createDataFrame([("1",), ("n/a",), ("7",), (None,)], "grade string")
+    few = facet_filter(rows, {"grade": [1]}).collect()
+    many = facet_filter(rows, {"grade": [1, *range(100, 1500)]}).collect()
+    assert few == many and [r["grade"] for r in few] == ["1"]
+    numbers = spark.createDataFrame([(1,), (2,)], "age int")
+    assert facet_filter(numbers, {"age": ["x", "2"]}).count() == 1

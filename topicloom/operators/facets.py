@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,7 +13,8 @@ from topicloom.constants import (
 from topicloom.functions.numeric import coerce_numeric, truncate
 from topicloom.functions.text import has_text
 
-# Longer value lists are joined instead of inlined in the plan.
+# Longer value lists are joined instead of inlined in the plan. Either way the values are
+# cast to the column's type first; a value that can't be cast matches nothing.
 MAX_INLINE_VALUES = 1_000
 
 
@@ -26,14 +28,19 @@ def facet_filter(df: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:
     for col, values in filters.items():
         if not values or col not in df.columns:
             continue
-        values = list(values)
+        values, kind = list(values), df.schema[col].dataType
         if len(values) <= MAX_INLINE_VALUES:
-            df = df.filter(F.col(col).isin(values))
+            df = df.filter(F.col(col).isin([F.lit(v).try_cast(kind) for v in values]))
         else:
-            wanted = df.sparkSession.createDataFrame(
-                [(v,) for v in values], f"`{col}` {df.schema[col].dataType.simpleString()}"
-            ).distinct()
-            df = df.join(wanted, col, "left_semi")
+            wanted = [
+                df.sparkSession.createDataFrame([(v,) for v in values if type(v) is t], ["v"])
+                .select(F.col("v").try_cast(kind).alias(col))
+                for t in {type(v) for v in values if v is not None}
+            ]
+            if wanted:
+                df = df.join(reduce(DataFrame.union, wanted).distinct(), col, "left_semi")
+            else:
+                df = df.filter("false")
     return df
 
 

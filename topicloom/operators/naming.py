@@ -16,12 +16,11 @@ from topicloom.operators.weights import keyword_lists, with_terms
 from topicloom.scratch import materialize
 
 NAME_TEMPLATE = (
-    "Reviews were grouped into a topic with these keywords: {keywords}.\n"
-    "Answer with a plain name for it of at most five words and nothing else."
+    "Strongest terms of one group of texts: {keywords}\nGive this group a short title."
 )
 SUMMARY_TEMPLATE = (
-    "Topic: {name}\nKeywords: {keywords}\nReviews:\n{samples}\n"
-    "Summarise the main concerns, the sentiment, the experiences and what providers can learn."
+    "Group {name}, strongest terms: {keywords}\nSome of its texts:\n{samples}\n"
+    "In one paragraph, say what these texts share and where they differ."
 )
 
 
@@ -120,13 +119,12 @@ def names_to_compute(topic_ids: DataFrame, cache: DataFrame) -> DataFrame:
 
 def extractive_summary(
     topics: DataFrame, weights: DataFrame, text_col: str, n_sentences: int = 3,
-    samples: int | None = SAMPLES_IN_SUMMARY, language: str = "english",
+    samples: int | None = None, language: str = "english",
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
     """(topic_id, rank, row_id, sentence_no, sentence, score): sentences with most topic weight.
 
-    Sentences come from the first ``samples`` texts of a topic, whole, or from every text with
-    ``samples=None``. Outliers get no summary.
+    All texts of a topic are ranked, or its first ``samples`` where given. Outliers get no summary.
     """
     kept = topics.filter(F.col("topic_id") != OUTLIER_ID)
     if samples is None:

@@ -255,7 +255,7 @@ def _own_block_kernel(pivots, count, radius, blocks, k: int, metric: str):
     nearest = _nearest_function(k, metric)
     between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2)) \
         if len(pivots) <= 256 else None
-    slack = SLACK
+    slack, tie = SLACK, 10.0 ** -TIE_DIGITS
 
     def kernel(key, pdf):
         cell = int(key[0])
@@ -264,7 +264,8 @@ def _own_block_kernel(pivots, count, radius, blocks, k: int, metric: str):
         r, c, d = nearest(x, ids, x, ids)
         ends = np.searchsorted(r, np.arange(len(x) + 1))
         # Euclidean bound on the k-th distance from the own block and from full cells.
-        euclid = np.sqrt(np.maximum(2 * d, 0.0)) if metric == "cosine" else d
+        # Distances that tie after rounding are ordered by id, so the reach includes them.
+        euclid = np.sqrt(np.maximum(2 * (d + tie), 0.0)) if metric == "cosine" else d + tie
         full = (ends[1:] - ends[:-1]) >= k
         bound = np.full(len(x), np.inf)
         bound[full] = euclid[ends[1:][full] - 1]
@@ -284,6 +285,7 @@ def _own_block_kernel(pivots, count, radius, blocks, k: int, metric: str):
                 0.0,
             ))
             near = np.where(count > k, to + radius, np.inf).min(1)
+            near = np.sqrt(near ** 2 + 2 * tie) if metric == "cosine" else near + tie
             reach = np.minimum(bound[start:start + step], near)
             own = to_own[start:start + step, None]
             with np.errstate(divide="ignore", invalid="ignore"):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -28,12 +27,13 @@ def fingerprint_of(spark: SparkSession, filters: Mapping, params: Mapping) -> st
 def reuse(
     spark: SparkSession, store: str, key: str, compute: Callable[[], DataFrame]
 ) -> DataFrame:
-    """The result written under ``key``, computed and written first if there is none."""
+    """The result written under ``key``, computed and written first if there is none.
+
+    Only a folder that its job has marked as complete counts as written.
+    """
     path = f"{store.rstrip('/')}/{key}"
-    try:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -19,7 +19,7 @@ def build_store(
     """Write the store for ``table``, which carries ``row_id``; returns the text column."""
     column = find_text_column(table, text_col)
     if column is None:
-        raise ValueError("no suitable text column found in the dataset")
+        raise ValueError("none of the columns holds text")
     texts = clean(table, column).select("row_id", F.col(column).cast("string").alias(column))
     if make_encoder is None:
         vectors = embed_documents(texts, column)

@@ -28,8 +28,8 @@ def read_csv(spark: SparkSession, path: str, schema=None, normalize: bool = True
         df = reader.csv(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            raise SourceError(f"Dataset not found at {path}") from e
-        raise SourceError(f"Error loading dataset {path}: {e}") from e
+            raise SourceError(f"{path} was not found") from e
+        raise SourceError(f"the table at {path} is unreadable: {e}") from e
     return normalize_missing(df) if normalize else df
 
 
