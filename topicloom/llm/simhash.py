@@ -41,6 +41,8 @@ BANDS, PER_BAND = 12, 3
 BLOCK = 16_384
 #: Rows that a task gathers, block by block, before it compares them.
 GATHER = 100_000
+#: Shifts after which blocks that have become one component are looked for.
+SETTLE = 32
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -163,11 +165,15 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def compare(keys: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
-    """Forest of links between rows of equal key, rows sorted by key; prints is n x words."""
+    """Forest of links between rows of equal key, rows sorted by key; prints is n x words.
+
+    Pairs that earlier links have joined already are not compared again.
+    """
     n = len(keys)
     links = Links(n)
     change = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     size = np.repeat(np.diff(change), np.diff(change))
+    first = np.repeat(change[:-1], np.diff(change))
     left = np.repeat(change[1:], np.diff(change)) - np.arange(n)  # rows of the block from here
     longest = int(size.max(initial=1))
     # Planes of all bits; zero words at the end serve the shifts.
@@ -177,12 +183,20 @@ def compare(keys: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
     planes = np.packbits(padded, axis=1, bitorder="little").view("<u8")
     steps = max(1, (radius + 1).bit_length()) + 1
     words = np.arange((n + 63) // 64)
-    most = np.maximum.reduceat(left, words * 64) if n else left
     for d in range(1, longest):
-        at = words[most > d]
+        if d % SETTLE == 0:
+            # A block whose rows are all linked already has nothing more to tell.
+            whole = np.logical_and.reduceat(links.low == first, change[:-1])
+            left[np.repeat(whole, np.diff(change))] = 0
+            if left.max() <= d:
+                break
         lanes = np.zeros(len(words) * 64, np.uint8)
-        lanes[:n] = left > d
-        alive = np.packbits(lanes, bitorder="little").view("<u8")[at]
+        lanes[: n - d] = (left[: n - d] > d) & (links.low[: n - d] != links.low[d:])
+        alive = np.packbits(lanes, bitorder="little").view("<u8")
+        at = np.flatnonzero(alive)
+        if not len(at):
+            continue
+        alive = alive[at]
         counter = [np.zeros(len(at), np.uint64) for _ in range(steps)]
         group = 0
         for p in range(0, len(planes), 3):
