@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from topicloom.llm.common import slices, small_batches
 from topicloom.operators.components import connected_components
 from topicloom.scratch import materialize
+from topicloom.skew import hot_join
 
 SEED = 42
 #: The registered query: three words, 64 bits, radius 2.
@@ -316,11 +317,13 @@ def components(
         edges.select("graph", F.col("b").alias("node"))
     ).distinct()
     grouped = connected_components(nodes, edges, "graph").select("node", "component")
-    joined = materialize(kinds.select("node", "low").join(grouped, "node", "left"), "simhash-joined")
-    best = joined.filter("component is not null").groupBy("component").agg(F.min("low").alias("best"))
-    classes = joined.join(best, "component", "left").select(
-        "node", F.coalesce("best", "low").alias("best")
-    )
+    joined = kinds.select("node", "low").join(grouped, "node", "left")
+    joined = materialize(joined, "simhash-joined")
+    alone = joined.filter("component is null").select("node", F.col("low").alias("best"))
+    linked = materialize(joined.filter("component is not null"), "simhash-linked")
+    best = linked.groupBy("component").agg(F.min("low").alias("best"))
+    # A component may hold a third of all rows.
+    classes = alone.union(hot_join(linked, best, ["component"]).select("node", "best"))
     hexed = F.concat(*[F.lpad(F.lower(F.hex(F.col("words")[i])), 16, "0") for i in range(words)])
     same = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash"))
     return found.join(classes, "node").select(
