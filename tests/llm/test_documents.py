@@ -1,6 +1,7 @@
 """Operators on documents against brute force, over given and hand-made rows."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,6 +281,35 @@ def test_near_duplicates_leave_one_document(spark, given):
     assert sorted(r["doc_id"] for r in kept.collect()) == [10, 14, 16, 18]
 
 
+@pytest.mark.parametrize("limits", [{}, {"SHINGLES": 20_000}])
+def test_near_duplicates_match_brute_force(spark, given, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(11)
+    texts = []
+    for likeness in (0.7, 0.75, 0.78, 0.8, 0.82, 0.85, 0.9):
+        for i in range(25):
+            base = [f"w{rng.randrange(10**9)}" for _ in range(304)]
+            shared = round(2 * 300 * likeness / (1 + likeness) + 0.4)
+            cut = 300 - shared
+            copy = base[:-cut] + [f"w{rng.randrange(10**9)}" for _ in range(cut)]
+            texts += [base, copy]
+            if i % 5 == 0:  # a chain
+                texts.append([f"w{rng.randrange(10**9)}" for _ in range(40)] + copy[40:])
+    # Many repeats of one shingle are one element of the set.
+    texts += [["again"] * 2000 + [f"w{rng.randrange(10**9)}" for _ in range(40)] for _ in range(3)]
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in texts]
+    low = list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if len(a & b) * 5 >= 4 * len(a | b):
+                x, y = sorted((low[i], low[j]))
+                low = [x if v == y else v for v in low]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, given.schema).repartition(4))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(low))
+
+
 def test_majority_counts_bits():
     import numpy as np
 

@@ -9,6 +9,10 @@ all i at once: planes are combined three at a time by carry-save adders and coun
 bit-sliced counters, and a machine word is abandoned once all its rows exceed the radius.
 Each task returns a spanning forest of its links; components follow by contraction in Spark.
 
+The pipeline stage takes such links as candidates only. The documents of one candidate component
+meet again with their shingle sets, and pairs within the radius are linked where the Jaccard
+similarity of the sets is exactly 0.8 or more; only links that passed count as joined.
+
 A block above ``BLOCK`` rows is cut into parts of about that size that meet pairwise, so one
 huge block is spread over many tasks and still compared whole. Equal fingerprints are one row
 before anything is compared, so copies cost nothing.
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from topicloom.llm.common import slices, small_batches
@@ -35,13 +40,17 @@ SEED = 42
 #: The registered query: three words, 64 bits, radius 2.
 WIDTH, WORDS, RADIUS = 3, 1, 2
 #: The pipeline stage: five words, 256 bits. Jaccard similarity 0.8 means 39 differing bits on
-#: average; the radius leaves a standard deviation for its spread.
-NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS = 5, 4, 44
+#: average, with a spread of about 6, so the radius of the candidates loses none but by rare chance.
+NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS = 5, 4, 64
+#: Least Jaccard similarity of a link of the stage, as a fraction.
+NEAR_LEAST = (4, 5)
 #: Bands of minima: at similarity 0.8 a pair shares one of them in 99.98 % of the cases.
 BANDS, PER_BAND = 12, 3
 BLOCK = 16_384
 #: Rows that a task gathers, block by block, before it compares them.
 GATHER = 100_000
+#: Shingles of a part of a block, and of the rows that a task gathers.
+SHINGLES = 4_000_000
 #: Shifts after which blocks that have become one component are looked for.
 SETTLE = 32
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -96,30 +105,94 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int, words: int, bands: bool) -> DataFrame:
-    """doc_id, text_hash, words (array<long>), keys (array<long>, bands or null)."""
+    """doc_id, text_hash, words (array<long>), keys (array<long>, bands or null), node.
+
+    With bands, repeats of a shingle don't count, and the node stands for the set of shingles.
+    """
+    import xxhash
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                prints, keys = [], []
+                prints, keys, nodes = [], [], []
                 for text in part.column(2).cast(pa.binary()).to_pylist():
                     hashes = shingle_hashes(text, width)
+                    if bands:
+                        hashes = np.unique(hashes)
+                        nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                     prints.append(majority(hashes, words).view(np.int64))
                     keys.append(band_keys(hashes).view(np.int64) if bands else None)
+                    if not bands:
+                        nodes.append(int(prints[-1].view(np.uint64)[0]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(prints, pa.list_(pa.int64())),
-                     pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_hash", "words", "keys"],
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64))],
+                    names=["doc_id", "text_hash", "words", "keys", "node"],
                 )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text).mapInArrow(
-        run, f"doc_id {kind}, text_hash long, words array<bigint>, keys array<bigint>"
+        run, f"doc_id {kind}, text_hash long, words array<bigint>, keys array<bigint>, node long"
+    )
+
+
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """node, words, keys, shingles (distinct and sorted) of rows with a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 3):
+                sets = [
+                    np.unique(shingle_hashes(text, width).view(np.int64))
+                    for text in part.column(3).cast(pa.binary()).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(sets, pa.list_(pa.int64()))],
+                    names=["node", "words", "keys", "shingles"],
+                )
+
+    return rows.select("node", "words", "keys", "text").mapInArrow(
+        run, "node long, words array<bigint>, keys array<bigint>, shingles array<bigint>"
     )
 
 
+class Alike:
+    """Exact check of pairs of rows: Jaccard similarity of their sorted sets, least or more."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, least: tuple[int, int]):
+        known, ids = np.unique(values, return_inverse=True)
+        self.least, self.lengths, self.base = least, lengths, max(1, len(known))
+        self.starts = np.cumsum(lengths) - lengths
+        self.ids = ids
+        # Rows ascend and each set is sorted, so these are sorted.
+        self.placed = np.repeat(np.arange(len(lengths)), lengths) * self.base + ids
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        part, whole = self.least
+        swap = self.lengths[a] > self.lengths[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        few, many = self.lengths[a], self.lengths[b]
+        good = few * whole >= many * part
+        todo = np.flatnonzero(good & (few > 0))
+        upto = np.cumsum(few[todo])
+        start = 0
+        while start < len(todo):
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, before + (1 << 20), side="right")))
+            some = todo[start:end]
+            n = few[some]
+            first = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(self.starts[a[some]] - first, n)
+            wanted = np.repeat(b[some], n) * self.base + self.ids[at]
+            place = np.minimum(np.searchsorted(self.placed, wanted), len(self.placed) - 1)
+            both = np.add.reduceat((self.placed[place] == wanted).astype(np.int64), first)
+            good[some] = both * whole >= part * (n + many[some] - both)
+            start = end
+        return good
+
+
 class Links:
     """Running spanning forest: every row points to the smallest row it is linked with."""
 
@@ -165,10 +238,11 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def compare(keys: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+def compare(keys: np.ndarray, prints: np.ndarray, radius: int, alike: Alike | None = None) -> np.ndarray:
     """Forest of links between rows of equal key, rows sorted by key; prints is n x words.
 
-    Pairs that earlier links have joined already are not compared again.
+    Pairs that earlier links have joined already are not compared again. Pairs within the
+    radius that ``alike`` refuses are no links.
     """
     n = len(keys)
     links = Links(n)
@@ -220,30 +294,38 @@ def compare(keys: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
             lane = np.unpackbits(alive.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             word, bit = np.nonzero(lane)
             row = at[word] * 64 + bit
+            if alike is not None:
+                row = row[alike(row, row + d)]
             links.add(row, row + d)
     return links.low
 
 
-def _compare_blocks(radius: int, words: int):
-    """Task over rows (key, node, words) sorted by key: links as (a, b)."""
+def _compare_blocks(radius: int, words: int, least: tuple[int, int] | None = None):
+    """Task over rows (key, node, words[, shingles]) sorted by key: links as (a, b)."""
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         keys, nodes = table.column(0).to_numpy(), table.column(1).to_numpy()
         flat = np.concatenate([c.flatten().to_numpy() for c in table.column(2).chunks])
-        low = compare(keys, flat.view(np.uint64).reshape(-1, words), radius)
+        alike = None
+        if least is not None:
+            values = np.concatenate([c.flatten().to_numpy() for c in table.column(3).chunks])
+            alike = Alike(values, pc.list_value_length(table.column(3)).to_numpy().astype(np.int64), least)
+        low = compare(keys, flat.view(np.uint64).reshape(-1, words), radius, alike)
         linked = np.flatnonzero(low != np.arange(len(low)))
         return pa.RecordBatch.from_arrays(
             [pa.array(nodes[linked]), pa.array(nodes[low[linked]])], names=["a", "b"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, shingles = [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             n += batch.num_rows
-            if n < GATHER:
+            if least is not None:
+                shingles += len(batch.column(3).flatten())
+            if n < GATHER and shingles < SHINGLES:
                 continue
             # All but the last block, which may go on in the next batch.
             table = pa.Table.from_batches(held).combine_chunks()
@@ -253,21 +335,29 @@ def _compare_blocks(radius: int, words: int):
                 yield flush(table.slice(0, cut).to_batches())
                 held = table.slice(cut).to_batches()
                 n = len(keys) - cut
+                shingles = sum(len(b.column(3).flatten()) for b in held) if least is not None else 0
         if held:
             yield flush(held)
 
     return run
 
 
-def links(rows: DataFrame, radius: int, words: int, block: int = BLOCK) -> DataFrame:
-    """Written (a, b) links between the nodes of ``rows``: node, words, keys."""
+def links(
+    rows: DataFrame, radius: int, words: int, block: int = BLOCK, least: tuple[int, int] | None = None
+) -> DataFrame:
+    """Written (a, b) links between the nodes of ``rows``: node, words, keys.
+
+    With ``least`` rows have sorted shingles too, whose Jaccard similarity decides.
+    """
+    sets = ["shingles"] if least is not None else []
     dealt = materialize(
-        rows.select(F.explode("keys").alias("key"), "node", "words"), "simhash-blocks"
+        rows.select(F.explode("keys").alias("key"), "node", "words", *sets), "simhash-blocks"
     )
     # Blocks of one row have no pair, large ones are cut into parts that meet pairwise.
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn(
-        "_parts", F.ceil(F.col("_n") / block)
-    )
+    weight = F.sum(F.size("shingles")) / SHINGLES if sets else F.lit(0)
+    sizes = dealt.groupBy("key").agg(
+        F.count("*").alias("_n"), F.ceil(F.greatest(F.count("*") / block, weight)).alias("_parts")
+    ).filter("_n > 1")
     part = F.pmod(F.xxhash64("node"), F.col("_parts"))
     parts = dealt.join(sizes, "key").withColumn("_part", part).withColumn(
         "_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
@@ -275,8 +365,9 @@ def links(rows: DataFrame, radius: int, words: int, block: int = BLOCK) -> DataF
     met = F.when(F.col("_parts") == 1, F.col("key")).otherwise(
         F.xxhash64("key", F.least("_part", "_other"), F.greatest("_part", "_other"))
     )
-    ready = parts.select(met.alias("key"), "node", "words").repartition("key").sortWithinPartitions("key")
-    found = ready.mapInArrow(_compare_blocks(radius, words), "a long, b long")
+    ready = parts.select(met.alias("key"), "node", "words", *sets)
+    ready = ready.repartition("key").sortWithinPartitions("key")
+    found = ready.mapInArrow(_compare_blocks(radius, words, least), "a long, b long")
     return materialize(found, "simhash-links")
 
 
@@ -290,6 +381,32 @@ def _pigeon_keys(word):
     ])
 
 
+def _grouped(edges: DataFrame) -> DataFrame:
+    """node, component of the linked nodes."""
+    edges = edges.select(F.lit(0).alias("graph"), "a", "b")
+    nodes = edges.select("graph", F.col("a").alias("node")).union(
+        edges.select("graph", F.col("b").alias("node"))
+    ).distinct()
+    return connected_components(nodes, edges, "graph").select("node", "component")
+
+
+def _checked(
+    docs: DataFrame, kinds: DataFrame, grouped: DataFrame, width: int, words: int, radius: int, block: int
+) -> DataFrame:
+    """Links (a, b) inside candidate components between sets of shingles that are alike."""
+    candidates = kinds.join(grouped, "node").select(
+        "node", "words", F.array("component").alias("keys"), F.col("low.doc_id").alias("_id"),
+        F.col("low.text_hash").alias("_hash"),
+    )
+    candidates = materialize(candidates, "simhash-candidates")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text)
+    # One text stands for all copies, so no text is hot here.
+    same = rows["doc_id"].eqNullSafe(candidates["_id"]) & (rows["text_hash"] == candidates["_hash"])
+    texts = rows.join(candidates, same).dropDuplicates(["node"])
+    return links(shingle_sets(texts, width), radius, words, block, NEAR_LEAST)
+
+
 def components(
     docs: DataFrame, width: int = WIDTH, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK
 ) -> DataFrame:
@@ -301,22 +418,19 @@ def components(
     if words == 1 and not exact:
         raise ValueError("a radius above 2 needs more than one word")
     found = materialize(fingerprints(docs, width, words, bands=not exact), "simhash-prints")
-    found = found.withColumn("node", F.col("words")[0] if words == 1 else F.xxhash64("words"))
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     if exact:
         kinds = found.groupBy("node").agg(lowest.alias("low")).withColumn("words", F.array("node"))
         kinds = kinds.withColumn("keys", _pigeon_keys(F.col("node")))
     else:
-        # Equal fingerprints are equal texts but for chance, and then have equal bands too.
+        # Equal sets of shingles have equal fingerprints and bands.
         kinds = found.groupBy("node").agg(
             lowest.alias("low"), F.min("words").alias("words"), F.min("keys").alias("keys")
         )
     kinds = materialize(kinds, "simhash-kinds")
-    edges = links(kinds, radius, words, block).select(F.lit(0).alias("graph"), "a", "b")
-    nodes = edges.select("graph", F.col("a").alias("node")).union(
-        edges.select("graph", F.col("b").alias("node"))
-    ).distinct()
-    grouped = connected_components(nodes, edges, "graph").select("node", "component")
+    grouped = _grouped(links(kinds, radius, words, block))
+    if not exact:
+        grouped = _grouped(_checked(docs, kinds, grouped, width, words, radius, block))
     joined = kinds.select("node", "low").join(grouped, "node", "left")
     joined = materialize(joined, "simhash-joined")
     alone = joined.filter("component is null").select("node", F.col("low").alias("best"))
@@ -335,7 +449,7 @@ def components(
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of ``docs``.
 
-    Five-word shingles, similarity of about 0.8 or more; the smallest id stays.
+    Five-word shingles, Jaccard similarity 0.8 or more; the smallest id stays.
     """
     marked = materialize(
         components(docs, NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS).select("doc_id", "text_hash", "first"),
