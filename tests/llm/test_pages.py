@@ -3,9 +3,11 @@
 import gzip
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import verify
@@ -137,6 +139,21 @@ def test_html_repeats_between_pages_of_a_host(spark):
     assert all(got[i] == f"{i}st story ends" for i in range(5))
 
 
+def test_html_given_pages_without_article_tags(spark):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    found = {r["page_id"]: html.blocks(r["html"])[0] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html.extract(bare).collect()}
+    assert got == {k: " ".join(v) for k, v in found.items()}
+    # On one host only a line that is a block of its own on 8 of the pages goes.
+    together = bare.withColumn("url", F.lit("http://one.example/"))
+    got = {r["page_id"]: r["text"] for r in html.extract(together).collect()}
+    on = Counter(b for v in found.values() for b in set(v))
+    common = {b for b, n in on.items() if n >= 5}
+    assert len(common) == 1 and max(on.values()) == 8
+    assert got == {k: " ".join(b for b in v if b not in common) for k, v in found.items()}
+
+
 def test_repeated_matches_brute_force():
     rng = np.random.default_rng(4)
     for least in (1, 2, 3, 5, 8):
