@@ -154,6 +154,27 @@ def test_html_given_pages_without_article_tags(spark):
     assert got == {k: " ".join(b for b in v if b not in common) for k, v in found.items()}
 
 
+def test_html_repeats_of_a_whole_host(spark):
+    menu = "<ul><li>home<li>news of today<li>sport<li>weather</ul>"
+    copied = "".join(f"<p>part {k} of the same long article is told here" for k in range(3))
+    page = "{}<article><p>{} alone has these words to tell</article>"
+    rows = [(i, "http://h.example/", page.format(menu, i)) for i in range(600)]
+    # One page without article, and a passage on few pages of a large host.
+    rows.append((1000, "http://h.example/", f"{menu}<p>the only page without an article"))
+    few = "<div>we are on strike until the next week</div>"
+    rows += [(2000 + i, "http://h.example/", f"{few}<p>report {i} from the picket line") for i in range(5)]
+    rows += [(3000 + i, "http://h.example/", f"{copied}<p>ad {i}") for i in range(8)]
+    # A passage inside of sentences stays.
+    rows += [(4000 + i, "http://h.example/", f"<p>{i} on the other hand it is so {i}") for i in range(8)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html.extract(table).collect()}
+    assert got[1000] == "the only page without an article"
+    assert all(got[2000 + i] == f"report {i} from the picket line" for i in range(5))
+    article = " ".join(f"part {k} of the same long article is told here" for k in range(3))
+    assert all(got[3000 + i] == f"{article} ad {i}" for i in range(8))
+    assert all(got[4000 + i] == f"{i} on the other hand it is so {i}" for i in range(8))
+
+
 def test_repeated_matches_brute_force():
     rng = np.random.default_rng(4)
     for least in (1, 2, 3, 5, 8):
