@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from topicloom.llm import (
-    bpe, html, language, mixing, sharding, simhash, topk, url_rules, warc, weighted,
+    bpe, hmm, html, language, mixing, negatives, sharding, simhash, topk, url_rules, warc, weighted,
+    whitening,
 )
 from topicloom.llm.common import table
 
@@ -123,3 +126,52 @@ def op9(spark, sf_dir):
 @query("op10_weighted_fingerprints")
 def op10(spark, sf_dir):
     return weighted.fingerprint(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op11_whiten")
+def op11(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return found.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n",
+        F.expr("try_cast(deviation as long)").alias("deviation"), F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"), "identity_error",
+    )
+
+
+@query("op12_hidden_markov")
+def op12(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS i
+    FROM s WHERE same) WHERE i <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+    s.score AS negative_score, row_number() OVER (
+      PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id
+  WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved)).drop("positive_rank")
