@@ -35,7 +35,7 @@ from topicloom.scratch import materialize
 
 STATES, ROUNDS = 8, 6
 SHARE, WORD_BYTES, LEAST, RARE = 1 << 19, 32, 2, 1024
-STEPS = 128
+STEPS = 512
 #: Weight of the classes' overall shares in each state, as a share of all tokens of a state.
 PRIOR = 0.05
 STICKY, SPREAD, SEED = 0.9, 1.0, 42
@@ -237,37 +237,56 @@ class Lanes:
             self._carry()
 
     def _carry(self) -> None:
-        """Exact states at the borders of parts, from the parts' transfer matrices."""
+        """Exact states at the borders of parts.
+
+        The first part of a text carries its start forward and the last one its end backward;
+        only the parts between need a transfer matrix.
+        """
         k, move = len(self.model.start), self.model.move
-        lanes = np.flatnonzero(self.many[self.doc] > 1)
-        cross = np.where((self.place[lanes] == 0)[:, None, None], np.eye(k), move)
-        cross = cross * self.emit[lanes][:, None, :]
+        parts = self.many[self.doc]
+        heads = np.flatnonzero((self.place == 0) & (parts > 1))
+        tails = np.flatnonzero((self.place == parts - 1) & (parts > 1))
+        inner = np.flatnonzero((self.place > 0) & (self.place < parts - 1))
+        # Heads and inner parts have full length, tails end earlier.
+        head = self.model.start * self.emit[heads]
+        cross = move * self.emit[inner][:, None, :]
         for t in range(1, len(self.running)):
-            on = int(np.searchsorted(lanes, self.running[t]))
-            if not on:
-                break
-            moved = (cross[:on].reshape(-1, k) @ move).reshape(on, k, k)
-            cross[:on] = moved * self.emit[self.offset[t] + lanes[:on]][:, None, :]
+            at = self.offset[t]
+            head = (head @ move) * self.emit[at + heads]
+            if len(inner):
+                cross = (cross.reshape(-1, k) @ move).reshape(-1, k, k)
+                cross *= self.emit[at + inner][:, None, :]
             if t % 8 == 0:
+                head /= head.max(1, keepdims=True)
                 cross /= cross.max((1, 2), keepdims=True)
+        tail = np.ones((len(tails), k))
+        on = np.searchsorted(tails, self.running)
+        for t in range(len(self.running) - 1, -1, -1):
+            n = on[t]
+            tail[:n] = (tail[:n] * self.emit[self.offset[t] + tails[:n]]) @ move.T
+            if t % 8 == 0:
+                tail[:n] /= tail[:n].max(1, keepdims=True)
         cross /= cross.max((1, 2), keepdims=True)
         row = np.full(len(self.doc), -1)
-        row[lanes] = np.arange(len(lanes))
-        # Forward through the parts of all long texts at once, then backward.
-        docs = np.flatnonzero(self.many > 1)
-        state = np.tile(self.model.start, (len(docs), 1))
-        for j in range(int(self.many.max()) - 1):
-            more = self.many[docs] > j + 1
-            docs, state = docs[more], state[more]
-            own, following = self.lane_of[self.first[docs] + j], self.lane_of[self.first[docs] + j + 1]
-            state = np.einsum("ni,nij->nj", state, cross[row[own]])
-            state /= state.sum(1, keepdims=True)
-            self.before[following] = state
-        for j in range(int(self.many.max()) - 1, 0, -1):
+        row[inner] = np.arange(len(inner))
+        state = np.zeros((len(self.many), k))
+        state[self.doc[heads]] = head / head.sum(1, keepdims=True)
+        back = np.zeros((len(self.many), k))
+        back[self.doc[tails]] = tail / tail.max(1, keepdims=True)
+        # Through the parts of all long texts at once, forward and backward.
+        for j in range(1, int(self.many.max())):
+            docs = np.flatnonzero(self.many > j)
+            self.before[self.lane_of[self.first[docs] + j]] = state[docs]
+            docs = docs[self.many[docs] > j + 1]
+            state[docs] = np.einsum("ni,nij->nj", state[docs], cross[row[self.lane_of[self.first[docs] + j]]])
+            state[docs] /= state[docs].sum(1, keepdims=True)
+        for j in range(1, int(self.many.max())):
             docs = np.flatnonzero(self.many > j)
-            own, previous = self.lane_of[self.first[docs] + j], self.lane_of[self.first[docs] + j - 1]
-            back = np.einsum("nij,nj->ni", cross[row[own]], self.after[own])
-            self.after[previous] = back / back.max(1, keepdims=True)
+            at = self.first[docs] + self.many[docs] - 1 - j
+            self.after[self.lane_of[at]] = back[docs]
+            docs, at = docs[self.many[docs] > j + 1], at[self.many[docs] > j + 1]
+            back[docs] = np.einsum("nij,nj->ni", cross[row[self.lane_of[at]]], back[docs])
+            back[docs] /= back[docs].max(1, keepdims=True)
 
     def forward(self, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward states (if kept) and scale of each token, log likelihood of each text.
@@ -278,18 +297,18 @@ class Lanes:
         states = np.empty((len(self.ids) if keep else 0, k))
         scales = np.empty(len(self.ids))
         now = np.where((self.place == 0)[:, None], self.model.start, self.before @ move)
-        logs = np.zeros(len(self.doc))
+        ones = np.ones(k)
         for t, on in enumerate(self.running):
             a, b = self.offset[t], self.offset[t + 1]
             now = now[:on] * self.emit[a:b]
-            scale = now.sum(1)
+            scale = now @ ones
             now /= scale[:, None]
             if keep:
                 states[a:b] = now
             scales[a:b] = scale
-            logs[:on] += np.log(scale)
             now = now @ move
-        return states, scales, np.bincount(self.doc, logs, len(self.many))
+        logs = self.by_text(np.log(scales))
+        return states, scales, logs
 
     def by_text(self, values: np.ndarray) -> np.ndarray:
         """Sum of a value of each token over its text."""
@@ -317,9 +336,8 @@ class Lanes:
         late = self.place > 0
         moves += self.before[late].T @ pull[late] if len(pull) else 0
         starts = states[: len(self.doc)][~late].sum(0)
-        emitted = np.stack([
-            np.bincount(self.ids, states[:, s], len(self.model.prior)) for s in range(k)
-        ], 1)
+        # One state's column after the other lies together, which is faster to add up.
+        emitted = np.stack([np.bincount(self.ids, c, len(self.model.prior)) for c in states.T.copy()], 1)
         return starts, moves * move, emitted, float(logs.sum())
 
 
