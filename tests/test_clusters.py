@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from topicloom import skew
 from topicloom.operators import clusters, density
 from topicloom.operators.components import connected_components
+from topicloom.operators.spanning import spanning_tree
 
 
 def union_find(nodes, edges):
@@ -60,7 +63,8 @@ def blobs(spark, copies=0):
         for p in rng.normal(size=(40, 3)) * 0.5 + c:
             points.append(p)
             truth.append(i)
-    for p in rng.uniform(-60, 60, size=(12, 3)) + 100:
+    # Fewer than a cluster needs: at some distance any ten of them would be one.
+    for p in rng.uniform(-60, 60, size=(9, 3)) + 100:
         points.append(p)
         truth.append(-1)
     for _ in range(copies):
@@ -70,11 +74,167 @@ def blobs(spark, copies=0):
     return spark.createDataFrame(rows, "row_id long, vec array<double>"), truth
 
 
+def parts_within(nodes, edges, most):
+    """Components of the graph's edges of at most this length."""
+    return union_find(nodes, [(a, b) for a, b, d in edges if d <= most])
+
+
+def clusters_by_definition(weights, edges, min_size):
+    """Excess-of-mass clusters from the components at every distance, top down."""
+    distances = sorted({d for _, _, d in edges})
+    if not distances:
+        return set()
+    weight = lambda part: sum(weights[v] for v in part)
+    gain = lambda d: 1 / max(d, 1e-12)
+
+    def below(part, i):
+        """Sizeable components of a part once edges of distance i and more are gone."""
+        inside = [(a, b, d) for a, b, d in edges if a in part and b in part]
+        smaller = distances[i - 1] if i else -1.0
+        return [p for p in parts_within(part, inside, smaller) if weight(p) >= min_size]
+
+    def solve(part, i, born):
+        """Best stability and clusters of a part that is whole at distance i."""
+        total, at = 0.0, part
+        while True:
+            kids = below(at, i) if i >= 0 else []
+            inside = [(a, b, d) for a, b, d in edges if a in at and b in at and d <= distances[i]]
+            if len(kids) == 1 and kids[0] == at:
+                i -= 1
+                if i < 0 or not inside:
+                    # A vector with many copies: its rows count from its first edge on.
+                    return None
+                continue
+            gone = gain(distances[i]) - gain(born) if inside else 0.0
+            if len(kids) == 1:
+                lost = weight(at) - weight(kids[0])
+                total += lost * gone
+                at, i = kids[0], i - 1
+                if len(at) == 1:
+                    total += weight(at) * gone
+                    return total, {part}
+                continue
+            total += weight(at) * gone
+            if not kids:
+                return total, {part}
+            found = [solve(k, i - 1, distances[i]) if len(k) > 1 else (0.0, {k}) for k in kids]
+            best = sum(f[0] for f in found)
+            if total >= best:
+                return total, {part}
+            return best, set().union(*[f[1] for f in found])
+
+    nodes = frozenset(weights)
+    top = len(distances) - 1
+    whole = [p for p in parts_within(nodes, edges, distances[top]) if weight(p) >= min_size]
+    while len(whole) == 1 and top >= 0:  # all of the data are no cluster
+        smaller = distances[top - 1] if top else -1.0
+        inside = [(a, b, d) for a, b, d in edges if a in whole[0] and b in whole[0]]
+        whole, born = [p for p in parts_within(whole[0], inside, smaller) if weight(p) >= min_size], distances[top]
+        top -= 1
+    else:
+        born = distances[-1] if len(whole) != 1 and top == len(distances) - 1 else born
+    if len(whole) < 2:
+        return set()
+    return set().union(*[solve(p, max(top, 0), born)[1] if len(p) > 1 else {p} for p in whole])
+
+
+def clustered_points(kind):
+    rng = np.random.default_rng({"plain": 1, "ties": 2, "copies": 3, "apart": 4}[kind])
+    if kind == "ties":
+        return [(float(x), float(y)) for x, y in rng.integers(0, 9, (70, 2))]
+    centres = rng.normal(size=(4, 2)) * 6
+    points = [tuple(map(float, centres[i % 4] + rng.normal(size=2) * (0.3 + i % 4))) for i in range(70)]
+    if kind == "copies":
+        points += [points[0]] * 30 + [points[5]] * 9 + [points[9]] * 30
+    if kind == "apart":
+        points = [(x + 1000 * (i % 3), y) for i, (x, y) in enumerate(points)]
+    return points
+
+
+@pytest.mark.parametrize("kind,k,chunk", [
+    ("plain", 80, 500), ("ties", 80, 5), ("copies", 6, 9), ("apart", 6, 500),
+])
+def test_density_clusters_equal_the_definition(spark, kind, k, chunk):
+    points = clustered_points(kind)
+    copies = {}
+    for i, p in enumerate(points):
+        copies.setdefault(p, []).append(i)
+    distinct = sorted(copies, key=lambda p: copies[p][0])
+    vid = {p: copies[p][0] for p in distinct}
+    x = np.array(distinct)
+    d = np.zeros((len(x), len(x)))
+    for c in range(x.shape[1]):
+        d += (x[:, c][:, None] - x[:, c][None, :]) ** 2
+    d = np.sqrt(d)
+    ids = np.array([vid[p] for p in distinct])
+    core, near = {}, {}
+    for i, p in enumerate(distinct):
+        order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (round(d[i, j], 9), ids[j]))[:max(k, 5)]
+        near[i], seen, far = order, len(copies[p]), 0.0
+        for j in sorted(order, key=lambda j: (d[i, j], ids[j])):
+            if seen >= 6:
+                break
+            seen, far = seen + len(copies[distinct[j]]), d[i, j]
+        core[i] = far
+    edges = {}
+    for i, others in near.items():
+        for j in others:
+            edges[tuple(sorted((int(ids[i]), int(ids[j]))))] = float(max(core[i], core[j], d[i, j]))
+    weights = {vid[p]: len(copies[p]) for p in distinct}
+    parts = list(parts_within(set(weights), [(a, b, e) for (a, b), e in edges.items()], np.inf))
+    for p, q in itertools.combinations(parts, 2):  # bridged where the parts are nearest
+        cross = [(max(core[i], core[j], d[i, j]), *sorted((int(ids[i]), int(ids[j])))) for i in range(len(x)) for j in range(len(x))
+                 if ids[i] in p and ids[j] in q]
+        e, a, b = min(cross)
+        edges[a, b] = float(e)
+    want = {
+        frozenset(r for v in part for r in copies[points[v]])
+        for part in clusters_by_definition(weights, [(a, b, e) for (a, b), e in edges.items()], 6)
+    }
+    df = spark.createDataFrame([(i, list(p)) for i, p in enumerate(points)], "row_id long, vec array<double>")
+    results = []
+    for parts in (2, 7) if kind == "plain" else (3,):
+        rows = density.density_clusters(df.repartition(parts), "vec", 6, k=k, chunk_edges=chunk).collect()
+        results.append({r["row_id"]: r["topic_id"] for r in rows})
+    assert results[0] == results[-1] and len(results[0]) == len(points)
+    got = {}
+    for row, topic in results[0].items():
+        if topic != -1:
+            got.setdefault(topic, set()).add(row)
+    assert set(map(frozenset, got.values())) == want and want
+
+
+@pytest.mark.parametrize("collect_edges", [0, 100, 1000])
+def test_spanning_tree_is_the_lightest(spark, collect_edges):
+    rng = np.random.default_rng(8)
+    edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 120, (400, 2)) if a != b})
+    edges = [(a, b, float(rng.integers(1, 12))) for a, b in edges]
+    nodes = [(i,) for i in range(125)]
+    parent = list(range(125))
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    want = set()
+    for a, b, w in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            want.add((a, b, w))
+    got = spanning_tree(
+        spark.createDataFrame(nodes, "node long"), spark.createDataFrame(edges, "a long, b long, dist double").repartition(5),
+        collect_edges,
+    ).collect()
+    assert {tuple(r) for r in got if np.isfinite(r["dist"])} == want
+    assert len(got) == 124
+
+
 @pytest.mark.parametrize("copies", [0, 66])
 def test_density_clusters_find_blobs_and_noise(spark, copies):
     df, truth = blobs(spark, copies)
     got = {r["row_id"]: r["topic_id"] for r in
-           density.density_clusters(df, "vec", min_size=10, levels=12).collect()}
+           density.density_clusters(df, "vec", min_size=10).collect()}
     assert len(got) == len(truth)
     by_truth = {}
     for i, t in enumerate(truth):

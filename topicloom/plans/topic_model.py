@@ -33,7 +33,6 @@ class TopicParams:
     min_topic_size: int | None = None
     reduced_dims: int = 5
     first_clusters: int = 20
-    levels: int = 16
     language: str = "english"
     stop_words: Sequence[str] = field(default_factory=lambda: tuple(ENGLISH_STOP_WORDS))
     keywords: int = KEYWORDS_IN_DETAIL
@@ -80,7 +79,7 @@ def fit(
         "reduced",
     )
     if params.method == "density":
-        found = density_clusters(reduced, "reduced", min_size, levels=params.levels)
+        found = density_clusters(reduced, "reduced", min_size)
     elif params.method == "kmeans":
         k = min(params.first_clusters, max(1, n // min_size))
         found = clusters.kmeans_topics(reduced, "reduced", k, min_size, params.seed)
