@@ -222,10 +222,15 @@ def test_spanning_tree_is_the_lightest(spark, collect_edges):
         if root(a) != root(b):
             parent[root(a)] = root(b)
             want.add((a, b, w))
-    got = spanning_tree(
+    tree, parts = spanning_tree(
         spark.createDataFrame(nodes, "node long"), spark.createDataFrame(edges, "a long, b long, dist double").repartition(5),
         collect_edges,
-    ).collect()
+    )
+    got = tree.collect()
+    sets = {}
+    for r in parts.collect():
+        sets.setdefault(r["part"], set()).add(r["node"])
+    assert set(map(frozenset, sets.values())) == union_find(range(125), [e[:2] for e in edges])
     assert {tuple(r) for r in got if np.isfinite(r["dist"])} == want
     assert len(got) == 124
 

@@ -14,8 +14,11 @@ from topicloom.skew import hot_join, hot_keys, join_apart
 COLLECT_EDGES = 500_000
 
 
-def spanning_tree(nodes: DataFrame, edges: DataFrame, collect_edges: int = COLLECT_EDGES) -> DataFrame:
-    """(a, b, dist): the lightest edges that connect all of ``nodes``, as a written table.
+def spanning_tree(
+    nodes: DataFrame, edges: DataFrame, collect_edges: int = COLLECT_EDGES
+) -> tuple[DataFrame, DataFrame]:
+    """The lightest edges (a, b, dist) that connect all of ``nodes``, and the graph's parts
+    (node, part), as written tables.
 
     ``nodes`` is (node), ``edges`` is (a, b, dist) with a < b, each pair once. Edges compare by
     (dist, a, b), so the tree does not depend on partitions. Each round every component takes
@@ -29,8 +32,13 @@ def spanning_tree(nodes: DataFrame, edges: DataFrame, collect_edges: int = COLLE
     rest = materialize(
         pairs.union(pairs.select(F.col("cb"), F.col("ca"), "dist", "a", "b")), "tree-edges"
     )
-    live = nodes.select("node")
+    parts = nodes.select("node", F.col("node").alias("part"))
     found: list[DataFrame] = []
+
+    def moved(parts: DataFrame, pointers: DataFrame) -> DataFrame:
+        ends = pointers.select(F.col("node").alias("part"), "up")
+        return parts.join(ends, "part", "left").select("node", F.coalesce("up", "part").alias("part"))
+
     while (count := rest.count()) > 2 * collect_edges:
         best = materialize(
             rest.groupBy(F.col("ca").alias("node")).agg(F.min(F.struct("dist", "a", "b", "cb")).alias("e"))
@@ -39,35 +47,34 @@ def spanning_tree(nodes: DataFrame, edges: DataFrame, collect_edges: int = COLLE
         )
         found.append(best.select("a", "b", "dist").distinct())
         pointers = _roots(best.select("node", "up"))
-        live = materialize(
-            live.join(pointers.filter("node <> up").select("node"), "node", "left_anti"), "live"
-        )
+        parts = materialize(moved(parts, pointers), "tree-parts")
         # Both directions of each edge are present, so both ends have the same hot components.
         hot = hot_keys(rest, ["ca"], total=count)
         a = pointers.select(F.col("node").alias("ca"), F.col("up").alias("pa"))
         b = pointers.select(F.col("node").alias("cb"), F.col("up").alias("pb"))
         far = None if hot is None else hot.toDF("cb")
-        moved = join_apart(join_apart(rest, a, ["ca"], hot), b, ["cb"], far).filter("pa <> pb")
+        apart = join_apart(join_apart(rest, a, ["ca"], hot), b, ["cb"], far).filter("pa <> pb")
         rest = materialize(
-            moved.groupBy(F.col("pa").alias("ca"), F.col("pb").alias("cb"))
+            apart.groupBy(F.col("pa").alias("ca"), F.col("pb").alias("cb"))
             .agg(F.min(F.struct("dist", "a", "b")).alias("e")).select("ca", "cb", "e.*"),
             "tree-edges",
         )
     if count:
-        edges, ended = _finish(rest.filter("ca < cb").toArrow())
-        found.append(spark.createDataFrame(edges, "a long, b long, dist double"))
-        live = live.join(spark.createDataFrame(ended, "node long"), "node", "left_anti")
-    first = live.agg(F.min("node").alias("a"))
-    apart = live.crossJoin(F.broadcast(first)).filter("node <> a").select(
-        "a", F.col("node").alias("b"), F.lit(float("inf")).alias("dist")
+        picked, ended = _finish(rest.filter("ca < cb").toArrow())
+        found.append(spark.createDataFrame(picked, "a long, b long, dist double"))
+        parts = moved(parts, spark.createDataFrame(ended, "node long, up long"))
+    parts = materialize(parts, "tree-parts")
+    heads = parts.select("part").distinct()
+    tree = heads.crossJoin(F.broadcast(heads.agg(F.min("part").alias("a")))).filter("part <> a").select(
+        "a", F.col("part").alias("b"), F.lit(float("inf")).alias("dist")
     )
-    for part in found:
-        apart = apart.unionByName(part)
-    return materialize(apart, "spanning-tree")
+    for edges in found:
+        tree = tree.unionByName(edges)
+    return materialize(tree, "spanning-tree"), parts
 
 
 def _finish(rows) -> tuple[pa.Table, pa.Table]:
-    """The tree's edges among few components, and the components that end in others."""
+    """The tree's edges among few components, and the components in which these end."""
     ca, cb, a, b = (rows[c].to_numpy() for c in ("ca", "cb", "a", "b"))
     dist = rows["dist"].to_numpy()
     names, ends = np.unique(np.concatenate([ca, cb]), return_inverse=True)
@@ -85,8 +92,8 @@ def _finish(rows) -> tuple[pa.Table, pa.Table]:
         if i != j:
             root[max(i, j)] = min(i, j)
             picked.append(e)
-    ended = names[[i for i, r in enumerate(root) if r != i]]
-    return pa.table({"a": a[picked], "b": b[picked], "dist": dist[picked]}), pa.table({"node": ended})
+    ended = names[[find(i) for i in range(len(names))]]
+    return pa.table({"a": a[picked], "b": b[picked], "dist": dist[picked]}), pa.table({"node": names, "up": ended})
 
 
 def _roots(pointers: DataFrame) -> DataFrame:
