@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from checks.registry import check, embedding_rows, named, table
 from topicloom.operators import clusters, embed, layout
 from topicloom.operators.density import density_clusters
-from topicloom.operators.facets import clean
+from topicloom.operators.facets import clean, refine_multiselect
 from topicloom.operators.neighbors import knn_graph as build_knn
-from topicloom.operators.projection import plot_table, reduce_dimensions
+from topicloom.operators.plots import plot_table
+from topicloom.operators.projection import reduce_dimensions
 from topicloom.plans.topic_model import TopicParams, fit
 from topicloom.scratch import materialize
 
@@ -73,43 +74,10 @@ def fuzzy_graph(spark, sf_dir):
     return layout.fuzzy_graph(knn).withColumn("weight", F.round("weight", 6))
 
 
-LAYOUT_STEPS = 6
-
-
-def _layout_sql() -> str:
-    parts = ["""
-sym AS (SELECT a AS row_id, b AS nbr_id, weight FROM graph UNION ALL SELECT b, a, weight FROM graph),
-nodes AS (SELECT row_id, sum(weight) AS degree FROM sym GROUP BY row_id),
-links AS MATERIALIZED (SELECT s.row_id, s.nbr_id, s.weight / sqrt(n.degree * m.degree) AS weight
-  FROM sym s JOIN nodes n ON s.row_id = n.row_id JOIN nodes m ON s.nbr_id = m.row_id),
-raw0 AS MATERIALIZED (SELECT row_id, sqrt(degree / (SELECT sum(degree) FROM nodes)) AS v0,
-  (((row_id % 100003) * 7919 + 104729) % 10007) / 10007.0 - 0.5 AS x,
-  (((row_id % 100003) * 7921 + 104729) % 10007) / 10007.0 - 0.5 AS y FROM nodes)"""]
-    for i in range(LAYOUT_STEPS + 1):
-        parts.append(f"""
-mom{i} AS MATERIALIZED (SELECT vx, vy, xx - vx * vx AS xx, yy - vy * vy AS yy, xy - vx * vy AS xy
-  FROM (SELECT sum(v0 * x) AS vx, sum(v0 * y) AS vy, sum(x * x) AS xx, sum(y * y) AS yy,
-    sum(x * y) AS xy FROM raw{i})),
-at{i} AS MATERIALIZED (SELECT row_id, v0, (x - vx * v0) / sqrt(xx) AS x,
-  ((y - vy * v0) - xy / xx * (x - vx * v0)) / sqrt(yy - xy * xy / xx) AS y
-  FROM raw{i}, mom{i})""")
-        if i < LAYOUT_STEPS:
-            parts.append(f"""
-raw{i + 1} AS MATERIALIZED (SELECT s.row_id, s.v0, (s.x + p.x) / 2 AS x, (s.y + p.y) / 2 AS y
-  FROM at{i} s JOIN (SELECT l.row_id, sum(l.weight * t.x) AS x, sum(l.weight * t.y) AS y
-    FROM links l JOIN at{i} t ON l.nbr_id = t.row_id GROUP BY l.row_id) p
-  ON s.row_id = p.row_id)""")
-    return ",".join(parts)
-
-
-@check("neighbor_layout", f"""
-WITH RECURSIVE {FUZZY_SQL}, {_layout_sql()}
-SELECT row_id, round(x / v0, 5) AS x, round(y / v0, 5) AS y FROM at{LAYOUT_STEPS}""")
+@check("neighbor_layout")
 def neighbor_layout(spark, sf_dir):
     knn = materialize(build_knn(embedding_rows(spark, sf_dir)), "knn")
-    graph = materialize(layout.fuzzy_graph(knn), "fuzzy")
-    placed = layout.neighbor_layout(graph, iterations=LAYOUT_STEPS)
-    return placed.select("row_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return layout.neighbor_layout(materialize(layout.fuzzy_graph(knn), "fuzzy"))
 
 
 def documents(spark, sf_dir):
@@ -145,16 +113,38 @@ def density_topics(spark, sf_dir):
     )
 
 
+def plotted(spark, sf_dir):
+    return named(spark, sf_dir).filter("embedding IS NOT NULL")
+
+
 @check("project_2d")
 def project_2d(spark, sf_dir):
-    rows = named(spark, sf_dir).filter("embedding IS NOT NULL")
-    return plot_table(materialize(rows, "plot-rows"), "review", 2)
+    return plot_table(plotted(spark, sf_dir), "review", 2)
 
 
 @check("project_3d")
 def project_3d(spark, sf_dir):
-    rows = named(spark, sf_dir).filter("embedding IS NOT NULL")
-    return plot_table(materialize(rows, "plot-rows"), "review", 3)
+    return plot_table(plotted(spark, sf_dir), "review", 3)
+
+
+@check("project_2d_pca")
+def project_2d_pca(spark, sf_dir):
+    return plot_table(plotted(spark, sf_dir), "review", 2, method="pca")
+
+
+@check("project_2d_refined")
+def project_2d_refined(spark, sf_dir):
+    rows = plotted(spark, sf_dir)
+    return plot_table(rows, "review", 2, refined=refine_multiselect(rows, "age", ["de", "es"]))
+
+
+@check("project_3d_few_rows")
+def project_3d_few_rows(spark, sf_dir):
+    """The longest text of each language: fewer rows than a layout in three dimensions needs."""
+    rows = plotted(spark, sf_dir)
+    longest = rows.groupBy("age").agg(F.max_by("row_id", F.struct(F.length("review"), -F.col("row_id"))).alias("row_id"))
+    few = longest.filter(F.col("age") != "en").select("row_id")
+    return plot_table(rows, "review", 3, refined=few)
 
 
 @check("topic_model")

@@ -1,4 +1,4 @@
-"""Principal components for pre-cluster reduction and for 2-D and 3-D plots."""
+"""Principal components, and the rules by which plots reduce vectors."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
-from topicloom.constants import OUTLIER_ID
-from topicloom.functions.text import preview
-
-AXES = ["x", "y", "z"]
-
 
 def reduce_dimensions(df: DataFrame, vec_col: str, k: int, name: str = "reduced") -> DataFrame:
     """``df`` with its vectors projected on ``k`` centred components, signs fixed.
@@ -40,22 +35,6 @@ def reduce_dimensions(df: DataFrame, vec_col: str, k: int, name: str = "reduced"
     return projected.withColumn(name, F.array(*axes)).drop("_v", "_p")
 
 
-def plot_table(
-    topics: DataFrame, text_col: str, components: int, vec_col: str = "embedding",
-) -> DataFrame:
-    """(row_id, x, y[, z], topic_id, topic_name, text) without outliers.
-
-    Outliers take part in the projection and are dropped afterwards. Three-dimensional tables
-    carry a text preview, two-dimensional ones the whole text.
-    """
-    reduced = reduce_dimensions(topics, vec_col, components)
-    text = F.col(text_col) if components == 2 else preview(F.col(text_col))
-    return reduced.filter(F.col("topic_id") != OUTLIER_ID).select(
-        "row_id", *[F.col("reduced")[i].alias(AXES[i]) for i in range(components)],
-        "topic_id", "topic_name", text.alias("text"),
-    )
-
-
 def reduction_params(n: Column, components: Column) -> list[Column]:
     """Method, components, neighbours and spacing of a layout for ``n`` rows."""
     small = n < components + 1
