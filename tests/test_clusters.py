@@ -262,21 +262,63 @@ def test_kmeans_does_not_depend_on_input_layout(spark):
     assert len(results[0]) == df.count()
 
 
-def test_topic_merges_agree_between_matrix_and_rounds(spark):
-    rng = np.random.default_rng(9)
-    rows = [(t, f"w{j}", int(n), 1.0 + j / 10, 0.0)
-            for t in range(-1, 7) for j, n in enumerate(rng.integers(0, 6, 12)) if n]
-    weights = spark.createDataFrame(
-        rows, "topic_id int, term string, n long, idf double, weight double")
-    sizes = spark.createDataFrame(
-        [(t, 10 + (t * 7) % 5) for t in range(-1, 7)], "topic_id int, n long")
-    results = [
-        sorted(tuple(r) for r in
-               clusters.reduce_topics(weights, sizes, 3, max_matrix=m).collect())
-        for m in (512, 4)
-    ]
-    assert results[0] == results[1]
-    assert len({new for _, new in results[0]}) == 3
+def merged_by_hand(rows, sizes, goal):
+    """The smallest topic into its most similar one, one merge after the other."""
+    vectors = {}
+    for t, term, n, idf, _ in rows:
+        if t != -1:
+            vectors.setdefault(t, {})[term] = n * idf
+    alive = {t: n for t, n in sizes if t != -1}
+    for t in alive:
+        vectors.setdefault(t, {})
+    target = {t: t for t in alive}
+    while len(alive) > goal:
+        victim = min(alive, key=lambda t: (alive[t], -t))
+        own = vectors.pop(victim)
+        length = sum(v * v for v in own.values())
+
+        def score(t):
+            other = vectors[t]
+            dot = sum(v * other[w] for w, v in own.items() if w in other)
+            return round(dot / max((length * sum(v * v for v in other.values())) ** 0.5, 1e-300), 9)
+
+        partner = max((t for t in alive if t != victim), key=lambda t: (score(t), -t))
+        for w, v in own.items():
+            vectors[partner][w] = vectors[partner].get(w, 0.0) + v
+        alive[partner] += alive.pop(victim)
+        target = {t: partner if now == victim else now for t, now in target.items()}
+    return target | {-1: -1}
+
+
+@pytest.mark.parametrize("topics,goal,cells", [(7, 2, 4_000_000), (7, 2, 8), (60, 5, 600), (2000, 400, 4_000_000)])
+def test_topic_merges_equal_a_plain_loop(spark, topics, goal, cells):
+    rng = np.random.default_rng(topics)
+    rows = []
+    for t in range(-1, topics):
+        for j in rng.choice(max(12, topics // 4), 8, replace=False):
+            rows.append((t, f"w{j}", int(rng.integers(1, 9)), 1.0 + int(j) % 10 / 10, 0.0))
+    sizes = [(t, int(10 + rng.integers(0, 40))) for t in range(-1, topics)]
+    weights = spark.createDataFrame(rows, "topic_id int, term string, n long, idf double, weight double")
+    got = clusters.reduce_topics(
+        weights, spark.createDataFrame(sizes, "topic_id int, n long"), goal + 1, cells=cells
+    ).collect()
+    assert dict(map(tuple, got)) == merged_by_hand(rows, sizes, goal)
+
+
+def test_products_of_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (40, 30)) * rng.integers(0, 2, (40, 30))
+    rows = [(t, f"w{j}", float(v)) for t, r in enumerate(x) for j, v in enumerate(r) if v]
+    monkeypatch.setattr("topicloom.operators.weights.BLOCK_TOPICS", 6)
+    from topicloom.operators.weights import topic_products
+
+    vectors = spark.createDataFrame(rows, "topic_id int, term string, value double").repartition(5)
+    g = x @ x.T
+    got = {(r["a"], r["b"]): r["g"] for r in topic_products(vectors).collect()}
+    assert got == {(i, j): float(g[i, j]) for i in range(40) for j in range(i, 40) if g[i, j]}
+    wanted = spark.createDataFrame([(3,), (17,)], "topic_id int")
+    some = {(r["a"], r["b"]): r["g"] for r in topic_products(vectors, wanted).collect()}
+    assert some == {(i, j): float(g[i, j]) for i in (3, 17) for j in range(40) if j != i and g[i, j]}
 
 
 def test_similarity_of_topics(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,9 +13,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from topicloom.constants import OUTLIER_ID
 from topicloom.functions.vectors import cosine
 from topicloom.operators.joins import lookup
-from topicloom.operators.weights import MAX_MATRIX_TOPICS, gramian
+from topicloom.operators.weights import topic_products
 from topicloom.scratch import materialize
 
+#: Products of topics that one round of merges brings to the driver.
+MERGE_CELLS = 4_000_000
+
 
 def kmeans_topics(
     df: DataFrame, vec_col: str, k: int, min_size: int, seed: int = 42,
@@ -77,93 +82,108 @@ def topics_to_keep(n_topics: int, has_outliers: bool, count_outlier: bool = True
 
 def reduce_topics(
     weights: DataFrame, sizes: DataFrame, n_topics: int, count_outlier: bool = True,
-    max_matrix: int = MAX_MATRIX_TOPICS,
+    cells: int = MERGE_CELLS,
 ) -> DataFrame:
     """(topic_id, new_id): merge the smallest topic into its most similar one until enough.
 
     ``weights`` is (topic_id, term, n, idf), ``sizes`` is (topic_id, n). Topics are compared
-    by the cosine of n times idf, which adds up when topics merge; idf stays that of the fit.
-    Outliers never merge. Up to ``max_matrix`` topics one pass over the terms yields all
-    inner products and the merges happen on that matrix; while there are more topics, each
-    merge compares the smallest one with the rest by a join on terms.
+    by the cosine of n times idf, rounded to nine places, ties to the smaller id; n times idf
+    adds up when topics merge, and idf stays that of the fit. Outliers never merge.
+
+    Products of vectors add up too. So one round gets the products of the smallest topics with
+    all others, at most ``cells`` numbers, and merges on them in order for as long as the next
+    topic's products are known; the vectors are then merged by Spark and the next round begins.
+    The driver holds one size and one square per topic besides.
     """
     spark = weights.sparkSession
     sizes = materialize(sizes.select("topic_id", F.col("n").cast("long").alias("n")), "sizes")
     outliers = sizes.filter(F.col("topic_id") == OUTLIER_ID).count()
     goal = topics_to_keep(n_topics, outliers > 0, count_outlier)
-    vectors = weights.filter(F.col("topic_id") != OUTLIER_ID).select(
-        "topic_id", "term", (F.col("n") * F.col("idf")).alias("value")
-    )
-    merged = sizes.filter(F.col("topic_id") != OUTLIER_ID)
-    mapping = sizes.select("topic_id", F.col("topic_id").alias("new_id"))
-    count = merged.count()
-    rounds = 0
-    while count > max(goal, max_matrix):
-        victim = merged.orderBy("n", F.desc("topic_id")).first()["topic_id"]
-        target = _most_similar(vectors, victim)
-        if target is None:
-            target = merged.filter(F.col("topic_id") != victim).agg(F.min("topic_id")).first()[0]
-        moved = F.when(F.col("topic_id") == victim, F.lit(target)).otherwise(F.col("topic_id"))
-        vectors = vectors.withColumn("topic_id", moved).groupBy("topic_id", "term").agg(
-            F.sum("value").alias("value")
+    rows = sizes.filter(F.col("topic_id") != OUTLIER_ID).collect()
+    alive = {r["topic_id"]: r["n"] for r in rows}
+    target = {t: t for t in alive}
+    if len(alive) > goal:
+        vectors = materialize(
+            weights.filter(F.col("topic_id") != OUTLIER_ID)
+            .select("topic_id", "term", (F.col("n") * F.col("idf")).alias("value")),
+            "merge-vectors",
         )
-        merged = merged.withColumn("topic_id", moved).groupBy("topic_id").agg(F.sum("n").alias("n"))
-        mapping = mapping.withColumn(
-            "new_id", F.when(F.col("new_id") == victim, F.lit(target)).otherwise(F.col("new_id"))
-        )
-        rounds += 1
-        vectors = materialize(vectors, "merged-vectors")
-        merged = materialize(merged, "merged-sizes")
-        mapping = materialize(mapping, "merged-ids")
-        count -= 1
-    if count <= goal:
-        return mapping
-    rows = merged.collect()
-    ids = sorted(r["topic_id"] for r in rows)
-    final = _merge_matrix(
-        ids, {r["topic_id"]: r["n"] for r in rows}, gramian(vectors, ids).collect(), goal
-    )
-    final[OUTLIER_ID] = OUTLIER_ID
-    last = spark.createDataFrame(list(final.items()), "new_id int, final_id int")
-    return mapping.join(last, "new_id").select("topic_id", F.col("final_id").alias("new_id"))
-
-
-def _most_similar(vectors: DataFrame, topic: int) -> int | None:
-    own = vectors.filter(F.col("topic_id") == topic).select("term", F.col("value").alias("own"))
-    others = vectors.filter(F.col("topic_id") != topic)
-    squares = others.groupBy("topic_id").agg(F.sum(F.col("value") ** 2).alias("sq"))
-    products = others.join(own, "term").groupBy("topic_id").agg(
-        F.sum(F.col("value") * F.col("own")).alias("dot")
-    )
-    best = products.join(squares, "topic_id").orderBy(
-        F.desc(F.round(F.col("dot") / F.sqrt("sq"), 9)), "topic_id"
-    ).first()
-    return None if best is None else best["topic_id"]
-
-
-def _merge_matrix(ids: list[int], sizes: dict[int, int], cells, goal: int) -> dict[int, int]:
-    at = {t: i for i, t in enumerate(ids)}
-    g = np.zeros((len(ids), len(ids)))
-    for a, b, value in cells:
-        g[at[a], at[b]] = g[at[b], at[a]] = value
-    alive = dict(sizes)
-    target = {t: t for t in ids}
     while len(alive) > goal:
-        victim = min(alive, key=lambda t: (alive[t], -t))
-        i = at[victim]
-        rest = sorted(t for t in alive if t != victim)
+        order = sorted(alive, key=lambda t: (alive[t], -t))
+        asked = order[: max(2, cells // len(order))]
+        wanted = spark.createDataFrame([(t,) for t in asked], "topic_id int")
+        squares = {
+            r["topic_id"]: r["g"] for r in
+            vectors.groupBy("topic_id").agg(F.sum(F.col("value") * F.col("value")).alias("g")).collect()
+        }
+        products: dict[int, dict[int, float]] = {t: {} for t in asked}
+        for a, b, g in topic_products(vectors, wanted).collect():
+            products[a][b] = g
+        merged = _merge_known(alive, squares, products, goal)
+        if len(alive) > goal:
+            moves = spark.createDataFrame(list(merged.items()), "topic_id int, into int")
+            vectors = materialize(
+                vectors.join(moves, "topic_id", "left")
+                .groupBy(F.coalesce("into", "topic_id").alias("topic_id"), "term").agg(F.sum("value").alias("value")),
+                "merge-vectors",
+            )
+        target = {t: merged.get(now, now) for t, now in target.items()}
+    target[OUTLIER_ID] = OUTLIER_ID
+    final = spark.createDataFrame(list(target.items()), "topic_id int, new_id int")
+    return sizes.select("topic_id").join(final, "topic_id")
+
+
+def _merge_known(
+    alive: dict[int, int], squares: dict[int, float], products: dict[int, dict[int, float]], goal: int,
+) -> dict[int, int]:
+    """Merge smallest topics while their products are known; changes the sizes in ``alive``.
+
+    ``products`` has rows of the known topics. A merged topic keeps the row of its partner,
+    to which the row of the smaller one is added, if both are known. Returns topic to partner.
+    """
+    queue = [(n, -t) for t, n in alive.items()]
+    heapq.heapify(queue)
+    into: dict[int, int] = {}
+    while len(alive) > goal:
+        n, victim = heapq.heappop(queue)
+        victim = -victim
+        if alive.get(victim) != n:
+            continue  # merged meanwhile, or grown
+        if victim not in products:
+            break
+        row = products.pop(victim)
+        own = squares.get(victim, 0.0)
         score = {
-            t: round(g[i, at[t]] / max(np.sqrt(g[i, i] * g[at[t], at[t]]), 1e-300), 9) for t in rest
+            t: round(g / max(np.sqrt(own * squares[t]), 1e-300), 9) for t, g in row.items() if t in alive
         }
-        partner = max(rest, key=lambda t: (score[t], -t))
-        j = at[partner]
-        g[j, :] += g[i, :]
-        g[:, j] += g[:, i]
+        best = max(score.values(), default=0.0)
+        if best > 0:
+            partner = min(t for t, s in score.items() if s == best)
+        else:
+            partner = min(t for t in alive if t != victim)
+        shared = row.pop(partner, 0.0)
+        squares[partner] = squares.get(partner, 0.0) + 2 * shared + own
+        if partner in products:
+            known = products[partner]
+            known.pop(victim, None)
+            for t, g in row.items():
+                known[t] = known.get(t, 0.0) + g
+        for other in products.values():
+            moved = other.pop(victim, 0.0)
+            if moved:
+                other[partner] = other.get(partner, 0.0) + moved
+        if partner in products:
+            products[partner].pop(partner, None)
         alive[partner] += alive.pop(victim)
-        for t, into in target.items():
-            if into == victim:
-                target[t] = partner
-    return target
+        heapq.heappush(queue, (alive[partner], -partner))
+        into[victim] = partner
+    return {t: _last(into, t) for t in into}
+
+
+def _last(into: dict[int, int], topic: int) -> int:
+    while topic in into:
+        topic = into[topic]
+    return topic
 
 
 def assignment_strength(topics: DataFrame, vec_col: str = "embedding") -> DataFrame:

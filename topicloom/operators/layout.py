@@ -136,7 +136,8 @@ def neighbor_layout(
         if step == rounds:
             raise NotConverged(f"residuals above {tolerance} after {rounds} rounds")
         turned = hot_join(state, turns, ["part"]).select("row_id", "part", "v0", *BLOCKS, "turn", "shift", "values")
-        state = materialize(turned.mapInArrow(_turned(width), STATE), "layout")
+        # Read twice by the next product, which costs less than writing it.
+        state = turned.mapInArrow(_turned(width), STATE)
     found = state.select("row_id", "part", *[(F.col("x")[i] / F.col("v0")).alias(AXES[i]) for i in range(components)])
     return _packed(materialize(found, "layout-found"), AXES[:components])
 

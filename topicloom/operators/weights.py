@@ -12,8 +12,10 @@ from topicloom.constants import ENGLISH_STOP_WORDS, KEYWORDS_IN_DETAIL
 from topicloom.functions import text as T
 from topicloom.scratch import materialize
 
-# Up to this many topics the topic-by-topic matrix is small enough for one task and the driver.
-MAX_MATRIX_TOPICS = 512
+# Topics of a block; products are formed block by block.
+BLOCK_TOPICS = 256
+# Parts into which the terms of a pair of blocks are dealt.
+TERM_PARTS = 16
 
 
 def with_terms(
@@ -94,78 +96,120 @@ def keyword_lists(keywords: DataFrame) -> DataFrame:
     )
 
 
-def gramian(vectors: DataFrame, topic_ids: Sequence[int]) -> DataFrame:
-    """(a, b, g) with a <= b: inner products of topics over their terms.
+def topic_products(vectors: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(a, b, g): inner products of topics over their terms, where they share any.
 
-    Each task adds its shared terms into one small topic-by-topic matrix, so no pair of topics
-    is emitted per term. The many terms of a single topic only count towards its own square.
+    ``vectors`` is a written table (topic_id, term, value). All pairs a < b and the squares
+    a = b; with ``wanted`` (topic_id) only the rows of those topics, a in ``wanted``, b any other.
+    Topics are dealt into blocks of about ``BLOCK_TOPICS``, so a term has one row per block that
+    holds it. The rows of a term meet pairwise, and every task adds them into one small matrix
+    per pair of blocks; no pair of topics is emitted per term. Terms of a pair of blocks are
+    dealt into ``TERM_PARTS``, so that no pair is the work of one task.
+    """
+    topic = F.col("topic_id").cast("bigint")
+    ids = materialize(vectors.select(topic.alias("topic")).distinct(), "topic-ids")
+    blocks = max(1, -(-ids.count() // BLOCK_TOPICS))
+    block = F.pmod(F.xxhash64(F.lit(3), "topic"), F.lit(blocks)).cast("int")
+    rows = vectors.select(topic.alias("topic"), "term", F.col("value").cast("double")).withColumn("block", block)
+
+    def pieces(of: DataFrame, side: str) -> DataFrame:
+        return of.groupBy("term", "block").agg(
+            F.collect_list("topic").alias(f"t{side}"), F.collect_list("value").alias(f"v{side}")
+        ).select("term", F.col("block").alias(f"b{side}"), f"t{side}", f"v{side}")
+
+    if wanted is None:
+        # Most terms have one topic; they take part in its square only.
+        shared = rows.join(rows.groupBy("term").agg(F.count("*").alias("_n")).filter("_n > 1").select("term"), "term")
+        left = materialize(pieces(shared, "a"), "term-pieces")
+        right = left.toDF("term", "bb", "tb", "vb")
+        met = left.join(right, "term").filter("ba <= bb")
+    else:
+        asked = wanted.select(topic.alias("topic")).distinct()
+        left = materialize(pieces(rows.join(asked, "topic"), "a"), "term-pieces")
+        right = materialize(pieces(rows.join(left.select("term").distinct(), "term", "left_semi"), "b"), "term-pieces")
+        met = left.join(right, "term")
+    spot = F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")
+    dealt = met.select("ba", "bb", spot.alias("spot"), "ta", "va", "tb", "vb").repartition("ba", "bb", "spot")
+    found = dealt.sortWithinPartitions("ba", "bb").mapInPandas(_add_blocks(wanted is None), "a bigint, b bigint, g double")
+    if wanted is None:
+        once = F.col("a") < F.col("b")
+        within = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "g").filter(once)
+        squares = rows.groupBy(F.col("topic").alias("a"), F.col("topic").alias("b")).agg(
+            F.sum(F.col("value") * F.col("value")).alias("g")
+        )
+        return within.groupBy("a", "b").agg(F.sum("g").alias("g")).unionByName(squares)
+    return found.filter("a <> b").groupBy("a", "b").agg(F.sum("g").alias("g"))
+
+
+def _add_blocks(once: bool):
+    """Sums of the products of topics, one matrix for each pair of blocks in turn.
+
+    Within one block every pair is met from both sides; ``once`` keeps one of them.
     """
-    if len(topic_ids) > MAX_MATRIX_TOPICS:
-        raise ValueError(f"more than {MAX_MATRIX_TOPICS} topics")
-    ids = np.array(sorted(topic_ids), dtype=np.int64)
 
-    size = len(ids)
+    def run(batches):
+        pair, total = None, {}
+
+        def found():
+            i, j = np.nonzero(total["g"])
+            a, b = (np.fromiter(total[side], np.int64, len(total[side]))[at] for side, at in (("a", i), ("b", j)))
+            kept = a < b if once and pair[0] == pair[1] else slice(None)
+            return pd.DataFrame({"a": a[kept], "b": b[kept], "g": total["g"][i, j][kept]})
 
-    def accumulate(batches):
-        step = max(1, (1 << 22) // max(1, size))
-        total = np.zeros((size, size))
         for pdf in batches:
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start:start + step]
-                widths = part["topics"].map(len).to_numpy()
-                rows = np.repeat(np.arange(len(part)), widths)
-                cols = np.searchsorted(ids, np.concatenate(part["topics"].to_numpy()))
-                block = np.zeros((len(part), size))
-                block[rows, cols] = np.concatenate(part["values"].to_numpy())
-                total += block.T @ block
-        a, b = np.nonzero(np.triu(total, 1))
-        yield pd.DataFrame({"a": ids[a], "b": ids[b], "g": total[a, b]})
-
-    per_term = (
-        vectors.groupBy("term")
-        .agg(F.collect_list(F.struct("topic_id", "value")).alias("s"))
-        .filter(F.size("s") > 1)
-        .select(
-            F.col("s.topic_id").cast("array<bigint>").alias("topics"),
-            F.col("s.value").alias("values"),
-        )
-    )
-    # Topics without a common term have a product too.
-    i, j = np.triu_indices(size, 1)
-    zeros = vectors.sparkSession.createDataFrame(
-        pd.DataFrame({"a": ids[i], "b": ids[j], "g": np.zeros(len(i))}),
-        "a bigint, b bigint, g double",
-    )
-    pairs = (
-        per_term.mapInPandas(accumulate, "a bigint, b bigint, g double").unionByName(zeros)
-        .groupBy("a", "b").agg(F.sum("g").alias("g"))
-    )
-    topic = F.col("topic_id").cast("bigint")
-    squares = vectors.groupBy(topic.alias("a"), topic.alias("b")).agg(
-        F.sum(F.col("value") * F.col("value")).alias("g")
-    )
-    return pairs.unionByName(squares)
+            keys = list(zip(pdf["ba"], pdf["bb"]))
+            start = 0
+            while start < len(pdf):
+                end = start + 1
+                while end < len(pdf) and keys[end] == keys[start]:
+                    end += 1
+                if keys[start] != pair:
+                    if pair is not None:
+                        yield found()
+                    pair, total = keys[start], {"a": {}, "b": {}, "g": np.zeros((0, 0))}
+                part = pdf.iloc[start:end]
+                _add(total, part["ta"], part["va"], part["tb"], part["vb"])
+                start = end
+        if pair is not None:
+            yield found()
+
+    return run
+
+
+def _add(total: dict, ta, va, tb, vb) -> None:
+    """Add the products of the terms' topics to a matrix that grows with the topics met."""
+    sides = []
+    for name, topics, values in (("a", ta, va), ("b", tb, vb)):
+        at = total[name]
+        widths = topics.map(len).to_numpy()
+        flat = np.concatenate(topics.to_numpy())
+        for t in np.unique(flat).tolist():
+            at.setdefault(t, len(at))
+        column = np.fromiter((at[t] for t in flat.tolist()), np.int64, len(flat))
+        sides.append((np.repeat(np.arange(len(topics)), widths), column, np.concatenate(values.to_numpy()), len(at)))
+    old = total["g"]
+    total["g"] = np.zeros((sides[0][3], sides[1][3]))
+    total["g"][: old.shape[0], : old.shape[1]] = old
+    step = max(1, (1 << 22) // max(1, sides[0][3] + sides[1][3]))
+    for start in range(0, len(ta), step):
+        dense = []
+        for row, column, values, size in sides:
+            inside = slice(*np.searchsorted(row, [start, start + step]))
+            block = np.zeros((min(step, len(ta) - start), size))
+            block[row[inside] - start, column[inside]] = values[inside]
+            dense.append(block)
+        total["g"] += dense[0].T @ dense[1]
 
 
 def topic_similarity(weights: DataFrame) -> DataFrame:
     """(topic_a, topic_b, similarity) for a < b: cosine of the topics' term weights."""
-    ids = _topic_ids(weights)
-    products = gramian(
-        weights.select("topic_id", "term", F.col("weight").alias("value")), ids
-    )
-    g = materialize(products, "gramian")
+    vectors = materialize(weights.select("topic_id", "term", F.col("weight").alias("value")), "topic-vectors")
+    g = materialize(topic_products(vectors), "topic-products")
     squares = g.filter("a = b").select("a", F.col("g").alias("square"))
-    pairs = g.filter("a < b").select(F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), "g")
-    return (
-        pairs.join(squares.toDF("topic_a", "square_a"), "topic_a")
-        .join(squares.toDF("topic_b", "square_b"), "topic_b")
-        .select(
-            "topic_a", "topic_b",
-            (F.col("g") / F.sqrt(F.col("square_a") * F.col("square_b"))).alias("similarity"),
-        )
+    # Topics without a common term have a similarity too.
+    pairs = squares.toDF("topic_a", "square_a").join(squares.toDF("topic_b", "square_b"), F.expr("topic_a < topic_b"))
+    met = g.filter("a < b").toDF("topic_a", "topic_b", "g")
+    return pairs.join(met, ["topic_a", "topic_b"], "left").select(
+        "topic_a", "topic_b",
+        (F.coalesce("g", F.lit(0.0)) / F.sqrt(F.col("square_a") * F.col("square_b"))).alias("similarity"),
     )
-
-
-def _topic_ids(weights: DataFrame) -> list[int]:
-    found = weights.select("topic_id").distinct().limit(MAX_MATRIX_TOPICS + 1).collect()
-    return sorted(r[0] for r in found)
