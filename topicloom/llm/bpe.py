@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from topicloom.llm.common import slices, small_batches
 
 END = "</w>"
-#: Pieces that one task remembers before it starts anew, and bytes of the longest of them.
-MEMORY, PIECE = 150_000, 256
+#: Pieces and words that a worker remembers in each of two generations, bytes of the longest.
+MEMORY, PIECE = 60_000, 256
 #: Bytes of text that are encoded together.
 TOGETHER = 3 << 20
-#: Symbols up to which a word is merged by a plain scan.
+#: Symbols up to which words are proposed and merged together, in arrays.
 SHORT = 32
 #: Words of lower-case printable ASCII: the tokenizer's split without its Unicode classes.
 #: Fixed values, as in the tokenizer's definition.
@@ -47,6 +47,42 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+class Table:
+    """Whole numbers to whole numbers, looked up for arrays; -1 where a key is absent."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        todo, at = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            # One key for each free slot; the others try the next one.
+            slots, first = np.unique(at, return_index=True)
+            first = first[self.keys[slots] < 0]
+            self.keys[at[first]], self.values[at[first]] = keys[todo[first]], values[todo[first]]
+            rest = np.ones(len(todo), bool)
+            rest[first] = False
+            todo, at = todo[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        held = self.keys[at]
+        found = np.where(held == keys, self.values[at], -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            held = self.keys[at]
+            hit = held == keys[todo]
+            found[todo[hit]] = self.values[at[hit]]
+            on = ~hit & (held >= 0)
+            todo, at = todo[on], at[on]
+        return found
+
+
 class Encoder:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -74,10 +110,10 @@ class Encoder:
             self.made.append(made)
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, x, y
-        keys = np.array(list(self.pair), np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.key_rank = np.array(list(self.pair.values()), np.int64)[order]
+        self.ranks = Table(np.array(list(self.pair), np.int64), np.array(list(self.pair.values()), np.int64))
+        self.makes = np.array(self.made, np.int64)
+        self._grow()
+        self.id_text = {i: str(i) for i in self.names}
         #: Longest vocabulary entry by its first two characters.
         self.reach: dict[str, int] = {}
         for s in self.vocab:
@@ -89,11 +125,32 @@ class Encoder:
         #: Whether ASCII_WORD states this tokenizer's split.
         splits = spec["pre_tokenizer"]["pretokenizers"]
         self.plain = splits[0]["pattern"].get("Regex") == SPLIT
+        #: What is remembered now, and the generation before, whose hits move over.
         self.pieces: dict[bytes, tuple[bytes, int, bytes]] = {}
         self.words: dict[str | int, tuple[bytes, int, bytes]] = {}
+        self.old_pieces: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self.old_words: dict[str | int, tuple[bytes, int, bytes]] = {}
         self.firsts = {s[0] for s in self.special}
         self.failed = self.seen = 0
 
+    def _grow(self) -> None:
+        """The vocabulary as a tree of characters: steps from node to node, and the entry that
+        ends at each node, within a word and at its end."""
+        steps: dict[int, int] = {}
+        inner, last = [-1], [-1]
+        for s, i in self.vocab.items():
+            bare, node = s.removesuffix(END), 0
+            for c in bare:
+                key = node << 21 | ord(c)
+                node = steps.setdefault(key, len(inner))
+                if node == len(inner):
+                    inner.append(-1)
+                    last.append(-1)
+            if bare:
+                (last if bare != s else inner)[node] = i
+        self.steps = Table(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64))
+        self.inner, self.last = np.array(inner), np.array(last)
+
     def symbols(self, word: str) -> list[str]:
         """Characters of a word, the last with the mark of a word's end."""
         bare = word.removesuffix(END)
@@ -166,6 +223,73 @@ class Encoder:
                 raise ValueError(f"no vocabulary entry begins {word[i:]!r}")
         return found
 
+    def propose_all(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match on many words at once: the number of each token's word, and the
+        token. ``codes`` are the words' characters without marks, ``ends`` their bounds."""
+        word = np.arange(len(ends) - 1)
+        at, stop = ends[:-1].copy(), ends[1:]
+        node = np.zeros(len(word), np.int64)
+        best, best_at = np.full(len(word), -1), at.copy()
+        words, tokens = [], []
+        while len(word):
+            node = self.steps.find(node << 21 | codes[at])
+            on = node >= 0
+            at = at + on
+            over = at == stop[word]
+            entry = np.where(over, self.last[node], self.inner[node])
+            met = on & (entry >= 0)
+            best, best_at = np.where(met, entry, best), np.where(met, at, best_at)
+            done = ~on | over
+            if done.any():
+                if (best[done] < 0).any():
+                    raise ValueError("no vocabulary entry begins a word")
+                words.append(word[done])
+                tokens.append(best[done])
+                at = np.where(done, best_at, at)
+                node[done], best[done] = 0, -1
+                more = at < stop[word]
+                word, at, node, best, best_at = word[more], at[more], node[more], best[more], best_at[more]
+        words, tokens = np.concatenate(words), np.concatenate(tokens)
+        order = np.argsort(words, kind="stable")
+        return words[order], tokens[order]
+
+    def merge_all(self, codes: np.ndarray) -> list[list[int]]:
+        """Exact merging of words of one length, one per row; as ``merge`` does it."""
+        never = len(self.made)
+        first = self.steps.find(codes)
+        ids = np.where(np.arange(codes.shape[1]) == codes.shape[1] - 1, self.last[first], self.inner[first])
+        if (first < 0).any() or (ids < 0).any():
+            raise ValueError("a character without a vocabulary entry")
+
+        def rank(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            found = self.ranks.find(x * self.size + y)
+            return np.where(found < 0, never, found)
+
+        out: list[list[int]] = [[]] * len(ids)
+        row, ranks = np.arange(len(ids)), rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        while len(row):
+            if not ranks.shape[1]:
+                low = np.full(len(row), never)
+            else:
+                at = ranks.argmin(1)
+                low = ranks[np.arange(len(row)), at]
+            still = low < never
+            for i, found in zip(row[~still].tolist(), ids[~still].tolist()):
+                out[i] = found
+            row, ids, ranks = row[still], ids[still], ranks[still]
+            if not len(row):
+                break
+            at, low, every = at[still], low[still], np.arange(len(row))
+            ids[every, at] = self.makes[low]
+            width = ids.shape[1]
+            ids = ids[np.arange(width) != (at + 1)[:, None]].reshape(len(row), width - 1)
+            ranks = ranks[np.arange(width - 1) != at[:, None]].reshape(len(row), width - 2)
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = rank(ids[left, at[left] - 1], ids[left, at[left]])
+            right = np.flatnonzero(at < width - 2)
+            ranks[right, at[right]] = rank(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the strings of a and b leaves the boundary between them."""
         never = np.iinfo(np.int64).max
@@ -175,9 +299,8 @@ class Encoder:
         live = np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = x * self.size + y
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            across = np.where(self.keys[at] == key, self.key_rank[at], never)
+            across = self.ranks.find(x * self.size + y)
+            across = np.where(across < 0, never, across)
             # Of equal ranks the one further left comes first.
             bad = (across < up_a[live]) & (across <= up_b[live]) & (across < never)
             good[live[bad]] = False
@@ -192,25 +315,47 @@ class Encoder:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of marked words: proposed, verified together, merged where that fails."""
-        proposed = [self.propose(w) for w in words]
-        lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(lengths.sum()))
-        owner = np.repeat(np.arange(len(words)), lengths)
+        if not words:
+            return []
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) - len(END)
+        short = np.flatnonzero((lengths > 0) & (lengths <= SHORT))
+        long = np.flatnonzero((lengths <= 0) | (lengths > SHORT)).tolist()
+        bare = "".join([words[i][: -len(END)] for i in short.tolist()])
+        codes = np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths[short])])
+        word, flat = self.propose_all(codes, ends) if len(short) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        apart = [self.propose(words[i]) for i in long]
+        owner = np.concatenate([short[word], np.repeat(long, [len(p) for p in apart])]).astype(np.int64)
+        flat = np.concatenate([flat, np.array([t for p in apart for t in p], np.int64)])
         wrong = np.zeros(len(words), bool)
         wrong[owner[~self.reached[flat]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         fits = self.compatible(flat[inside], flat[inside + 1])
         wrong[owner[inside[~fits]]] = True
-        for i in np.flatnonzero(wrong):
-            proposed[i] = self.merge(words[i])
+        # The tokens of a word stand together.
+        many = np.bincount(owner, minlength=len(words))
+        first = np.zeros(len(words), np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        first[owner[heads]] = heads
+        tokens = flat.tolist()
+        found = [tokens[a : a + n] for a, n in zip(first.tolist(), many.tolist())]
+        for i in long:
+            if wrong[i]:
+                found[i] = self.merge(words[i])
+        again = np.flatnonzero(wrong[short])
+        for n in np.unique(lengths[short[again]]).tolist():
+            same = again[lengths[short[again]] == n]
+            merged = self.merge_all(codes[ends[same][:, None] + np.arange(n)])
+            for i, ids in zip(short[same].tolist(), merged):
+                found[i] = ids
         self.failed += int(wrong.sum())
         self.seen += len(words)
-        return proposed
+        return found
 
     def text(self, ids: list[int]) -> tuple[bytes, int, bytes]:
         """Ids as text, their number, and what they decode to."""
-        names = self.names
-        return " ".join(map(str, ids)).encode(), len(ids), " ".join([names[t] for t in ids]).encode()
+        names, texts = self.names, self.id_text
+        return " ".join([texts[t] for t in ids]).encode(), len(ids), " ".join([names[t] for t in ids]).encode()
 
     def split(self, text: str) -> list[str | int]:
         """Marked words and the ids of special tokens of a piece, in order."""
@@ -229,8 +374,11 @@ class Encoder:
     def learn(self, pieces: list[bytes]) -> None:
         """Encode pieces without white space, each as ``text`` gives it."""
         parts = [self.split(p.decode()) for p in pieces]
-        words = self.words
-        new = list({w for found in parts for w in found if w not in words})
+        words, old = self.words, self.old_words
+        new = {w for found in parts for w in found if w not in words}
+        kept = [w for w in new if w in old]
+        words.update((w, old[w]) for w in kept)
+        new = list(new.difference(kept))
         marked = [w for w in new if isinstance(w, str)]
         words.update(zip(marked, map(self.text, self.encode_words(marked))))
         words.update((w, self.text([w])) for w in new if not isinstance(w, str))
@@ -248,18 +396,23 @@ class Encoder:
         """For each text its ids as text, their number, and the decoded text."""
         split = [t.split() for t in texts]
         used = set().union(*split)
-        if len(self.pieces) + len(used) > MEMORY:
-            self.pieces.clear()
+        if len(self.pieces) > MEMORY:
+            self.old_pieces, self.pieces = self.pieces, {}
         if len(self.words) > MEMORY:
-            self.words.clear()
-        held = self.pieces
-        self.learn([p for p in used if p not in held])
+            self.old_words, self.words = self.words, {}
+        held, old = self.pieces, self.old_pieces
+        new = [p for p in used if p not in held]
+        kept = [p for p in new if p in old]
+        held.update((p, old[p]) for p in kept)
+        self.learn(list(set(new).difference(kept)))
         for words in split:
             found = [f for f in map(held.__getitem__, words) if f[1]]
             yield b" ".join([f[0] for f in found]), sum([f[1] for f in found]), b" ".join([f[2] for f in found])
         # Very long pieces are seldom met again.
         for piece in [p for p in used if len(p) > PIECE]:
             del held[piece]
+        for word in [w for w in self.words if isinstance(w, str) and len(w) > PIECE]:
+            del self.words[word]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -293,9 +446,6 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
                     names=["doc_id", *[f"c{i}" for i in range(len(cells))]],
                 )
             pa.default_memory_pool().release_unused()
-        # The worker may serve other tasks next.
-        coder.pieces.clear()
-        coder.words.clear()
 
     kind = types["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
