@@ -225,3 +225,50 @@ def test_pipeline(spark):
     empty = docs.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_DIR).count() == 0
+
+
+CLASHING = ["_h", "_copy", "_t", "_rejected", "text_hash", "first", "component", "_times"]
+
+
+def odd_documents(spark):
+    """The given documents with odd ones, and columns whose names the stages use themselves."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    text = docs.filter("lang = 'en'").orderBy("doc_id").first()["text"]
+    rows = [
+        (None, "null id " + text, "en", "a"), (9001, None, "en", "a"), (9002, "", "en", None), (9003, " \t\n", None, None),
+        (9004, text + " tail" * 400_000, "en", None), (9005, "repeated " + text, None, "b"), (9005, "repeated " + text, None, "b"),
+        (9006, "1234 5678 ...", "en", "b"),
+    ]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    whole = docs.select("doc_id", "text", "lang", "source").unionByName(odd)
+    return whole.select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHING])
+
+
+def test_stages_keep_columns_and_treat_odd_rows(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    path = new_path(spark, "odd-documents")
+    docs.write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    before = Counter(map(tuple, docs.collect()))
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        after = Counter(map(tuple, out.collect()))
+        assert set(after) <= set(before)  # every row as it was, in all columns
+        ids[name] = Counter(r[0] for r in after.elements())
+        if name == "language_id":
+            assert all(after[r] == before[r] for r in after)
+    kept = ids["language_id"]
+    assert not {9001, 9002, 9003, 9006} & set(kept) and kept[9005] == 2 and kept[None] == 1
+    alone = ids["simhash_dedup"]
+    assert set(alone.values()) == {1} and len({9001, 9002, 9003} & set(alone)) == 1
+    # Its long tail adds few different shingles, so it is a near copy.
+    assert 9004 not in alone
+    mixed = ids["mix_sources"]
+    assert mixed[9005] % 2 == 0  # both rows alike
+    rows = corpus_pipeline.run(spark, path).collect()
+    found = Counter(r["doc_id"] for r in rows)
+    assert found and not {9001, 9002, 9003, 9006} & set(found)

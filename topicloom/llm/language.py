@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from topicloom.llm.common import slices, small_batches
+from topicloom.llm.common import fresh, slices, small_batches
 from topicloom.scratch import materialize
 
 ORDER = 4
@@ -319,5 +319,6 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 def recognised(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents whose language is recognised, with their own columns."""
     models = fit(docs, sample_rows)
-    marked = docs.withColumn("_rejected", guess(docs, models)["rejected"])
-    return marked.filter(~F.col("_rejected")).drop("_rejected")
+    mark = fresh(docs, "_rejected")
+    marked = docs.withColumn(mark, guess(docs, models)["rejected"])
+    return marked.filter(~F.col(mark)).drop(mark)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from topicloom.llm.common import WORD, ranked
+from topicloom.llm.common import fresh, ranked, WORD
 from topicloom.scratch import materialize
 
 #: Weights by place of the source in code point order, repeating.
@@ -154,13 +154,14 @@ def mix(
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it."""
     counts = mix(docs, seed=seed).groupBy("doc_id", "_h").agg(F.max("repeats").alias("_times"))
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
+    place, copy = fresh(docs, "_h"), fresh(docs, "_copy")
+    keyed = docs.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
     joined = keyed.alias("d").join(
         counts.alias("c"),
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._h") == F.col("c._h")),
+        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{place}") == F.col("c._h")),
     )
     times = F.array_repeat(F.lit(0), F.col("c._times").cast("int"))
     return joined.select(
         *[F.col("d." + "`" + c.replace("`", "``") + "`") for c in docs.columns],
-        F.explode(times).alias("_copy"),
-    ).drop("_copy")
+        F.explode(times).alias(copy),
+    ).drop(copy)

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from topicloom.llm.common import slices, small_batches
+from topicloom.llm.common import fresh, slices, small_batches
 from topicloom.operators.components import connected_components
 from topicloom.scratch import materialize
 from topicloom.skew import hot_join
@@ -456,11 +456,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         "simhash-marked",
     )
     gone = marked.filter(~F.col("first")).select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
+    mark = fresh(docs, "_t")
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
     kept = keyed.join(
-        gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_t"] == gone["text_hash"]), "left_anti"
+        gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed[mark] == gone["text_hash"]), "left_anti"
     )
     first = marked.filter("first")
     if first.count() != first.distinct().count():  # repeated rows of one document
-        kept = kept.dropDuplicates(["doc_id", "_t"])
-    return kept.drop("_t")
+        kept = kept.dropDuplicates(["doc_id", mark])
+    return kept.drop(mark)
