@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from topicloom.llm.common import slices, small_batches
 
 END = "</w>"
-#: Pieces and words that a worker remembers in each of two generations, bytes of the longest.
-MEMORY, PIECE = 60_000, 256
+#: Pieces and words that a task remembers in each of two generations, bytes of the longest.
+MEMORY, PIECE = 40_000, 256
 #: Bytes of text that are encoded together.
 TOGETHER = 3 << 20
 #: Symbols up to which words are proposed and merged together, in arrays.
@@ -126,10 +126,11 @@ class Encoder:
         splits = spec["pre_tokenizer"]["pretokenizers"]
         self.plain = splits[0]["pattern"].get("Regex") == SPLIT
         #: What is remembered now, and the generation before, whose hits move over.
-        self.pieces: dict[bytes, tuple[bytes, int, bytes]] = {}
-        self.words: dict[str | int, tuple[bytes, int, bytes]] = {}
-        self.old_pieces: dict[bytes, tuple[bytes, int, bytes]] = {}
-        self.old_words: dict[str | int, tuple[bytes, int, bytes]] = {}
+        self.pieces: dict[bytes, tuple[bytes, int, bytes]]
+        self.words: dict[str | int, tuple[bytes, int, bytes]]
+        self.old_pieces: dict[bytes, tuple[bytes, int, bytes]]
+        self.old_words: dict[str | int, tuple[bytes, int, bytes]]
+        self.forget()
         self.firsts = {s[0] for s in self.special}
         self.failed = self.seen = 0
 
@@ -151,6 +152,10 @@ class Encoder:
         self.steps = Table(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64))
         self.inner, self.last = np.array(inner), np.array(last)
 
+    def forget(self) -> None:
+        """Drop what is remembered of pieces and words."""
+        self.pieces, self.words, self.old_pieces, self.old_words = {}, {}, {}, {}
+
     def symbols(self, word: str) -> list[str]:
         """Characters of a word, the last with the mark of a word's end."""
         bare = word.removesuffix(END)
@@ -446,6 +451,8 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
                     names=["doc_id", *[f"c{i}" for i in range(len(cells))]],
                 )
             pa.default_memory_pool().release_unused()
+        # The worker may serve other tasks next.
+        coder.forget()
 
     kind = types["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
