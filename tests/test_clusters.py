@@ -251,14 +251,18 @@ def test_density_clusters_find_blobs_and_noise(spark, copies):
         assert by_truth[t].count(label) >= 0.9 * len(by_truth[t])
 
 
-def test_kmeans_does_not_depend_on_input_layout(spark):
+def test_kmeans_does_not_depend_on_partitions(spark, monkeypatch):
     df, _ = blobs(spark)
-    results = [
-        sorted((r["row_id"], r["topic_id"]) for r in
-               clusters.kmeans_topics(df.repartition(p), "vec", 4, min_size=5).collect())
-        for p in (2, 7)
-    ]
-    assert results[0] == results[1]
+    monkeypatch.setattr(clusters, "FIT_ROWS", 40)
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts, shuffled in ((2, 4), (7, 8), (3, 23)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            rows = clusters.kmeans_topics(df.repartition(parts), "vec", 4, min_size=5).collect()
+            results.append(sorted((r["row_id"], r["topic_id"]) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2]
     assert len(results[0]) == df.count()
 
 

@@ -16,6 +16,8 @@ from topicloom.operators.joins import lookup
 from topicloom.operators.weights import topic_products
 from topicloom.scratch import materialize
 
+#: Rows of a partition of the k-means fit.
+FIT_ROWS = 20_000
 #: Products of topics that one round of merges brings to the driver.
 MERGE_CELLS = 4_000_000
 
@@ -26,11 +28,11 @@ def kmeans_topics(
 ) -> DataFrame:
     """``df`` with topic_id: clusters by size, those below ``min_size`` as outliers.
 
-    Rows are laid out by key first, so the seeded fit does not depend on how the input was
-    partitioned. Give it a written table: the vectors are read for the fit and the result.
+    Rows are laid out by key first, ``FIT_ROWS`` to a partition, so the seeded fit depends
+    neither on how the input was partitioned nor on the session's settings. Give it a written
+    table: the vectors are read for the fit and the result.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 1 + df.count() // FIT_ROWS
     data = (
         df.select("row_id", array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
         .repartition(parts, "row_id").sortWithinPartitions("row_id")
