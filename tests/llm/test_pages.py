@@ -227,6 +227,38 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF_DIR).count() == 0
 
 
+STORY = "The story itself is long enough to be the main text of this page."
+
+
+@pytest.mark.parametrize("page,expected", [
+    (f'<div id="page" class="site no-comments has-sidebar"><p>{STORY}</div>', [STORY]),
+    (f'<div class="comments"><p>{STORY}</div>', [STORY]),  # the whole page, so the mark is wrong
+    (f'<form id="aspnetForm"><p>{STORY}</p><form class="search"><p>find</form></form>', [STORY]),
+    (f'<p class="notice">We use cookies<p>{STORY}<p>More main text</div><p>after', [STORY, "More main text", "after"]),
+    (f'<article><p>{STORY}</p><p class="social-studies">one</p><p class="share-price">two</p><p class="notice-period">three</p>'
+     '<div class="cookie-notice">no</div><div class="comment-list">no</div></article>', [STORY, "one", "two", "three"]),
+    (f'<div><p>{STORY}</p></div><article class="comment"><p>First!</p></article>', [STORY]),
+    (f'<article><p>{STORY}</p><article class="comment"><p>First!</p></article></article>', [STORY]),
+    (f"<article>{STORY}</article><article>two</article>x", [STORY, "two"]),
+    (f'<ul><li class="menu">no<li>{STORY}<ul><li>inner</ul><li>last</ul>', [STORY, "inner", "last"]),
+])
+def test_html_keeps_the_main_text(page, expected):
+    assert html.blocks(page)[0] == expected
+
+
+def test_html_of_many_open_tags_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        found, _ = html.blocks("<p>" * n + "<div><i>x" * n + "<b>y</b>" * n + "</u>" * n)
+        assert len(found) == n and found[-1] == "x" + "y" * n
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.02)
+
+
 CLASHING = ["_h", "_copy", "_t", "_rejected", "text_hash", "first", "component", "_times"]
 
 
