@@ -113,14 +113,23 @@ def reduce_topics(
     while len(alive) > goal:
         order = sorted(alive, key=lambda t: (alive[t], -t))
         asked = order[: max(2, cells // len(order))]
-        wanted = spark.createDataFrame([(t,) for t in asked], "topic_id int")
-        squares = {
-            r["topic_id"]: r["g"] for r in
-            vectors.groupBy("topic_id").agg(F.sum(F.col("value") * F.col("value")).alias("g")).collect()
-        }
         products: dict[int, dict[int, float]] = {t: {} for t in asked}
-        for a, b, g in topic_products(vectors, wanted).collect():
-            products[a][b] = g
+        if len(asked) == len(order):
+            # All pairs and squares in one pass over the terms that topics share.
+            squares = {}
+            for a, b, g in topic_products(vectors).collect():
+                if a == b:
+                    squares[a] = g
+                else:
+                    products[a][b] = products[b][a] = g
+        else:
+            wanted = spark.createDataFrame([(t,) for t in asked], "topic_id int")
+            squares = {
+                r["topic_id"]: r["g"] for r in
+                vectors.groupBy("topic_id").agg(F.sum(F.col("value") * F.col("value")).alias("g")).collect()
+            }
+            for a, b, g in topic_products(vectors, wanted).collect():
+                products[a][b] = g
         merged = _merge_known(alive, squares, products, goal)
         if len(alive) > goal:
             moves = spark.createDataFrame(list(merged.items()), "topic_id int, into int")
