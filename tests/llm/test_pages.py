@@ -175,23 +175,71 @@ def test_html_repeats_of_a_whole_host(spark):
     assert all(got[4000 + i] == f"{i} on the other hand it is so {i}" for i in range(8))
 
 
-def test_repeated_matches_brute_force():
+def test_shared_substrings_match_brute_force():
     rng = np.random.default_rng(4)
     for least in (1, 2, 3, 5, 8):
         for _ in range(20):
             pages = [rng.integers(0, 3, rng.integers(0, 25)).tolist() for _ in range(4)]
-            tokens, page = [], []
-            for i, p in enumerate(pages):
-                tokens += [*p, 1000 + i]
-                page += [i] * (len(p) + 1)
-            expected = np.zeros(len(tokens), bool)
-            for i, p in enumerate(pages):
-                others = {tuple(q[k : k + least]) for j, q in enumerate(pages) if j != i for k in range(len(q) - least + 1)}
-                begin = page.index(i)
-                for k in range(len(p) - least + 1):
-                    if tuple(p[k : k + least]) in others:
-                        expected[begin + k : begin + k + least] = True
-            assert (html.repeated(np.array(tokens), np.array(page), least) == expected).all()
+            tokens = np.array([t for p in pages for t in p], np.uint64)
+            page = np.repeat(np.arange(4), [len(p) for p in pages])
+            expected = Counter(
+                w for p in pages for w in {tuple(p[k : k + least]) for k in range(len(p) - least + 1)}
+            )
+            places, found = html.shared(tokens, page, least)
+            assert {tuple(tokens[i : i + least].tolist()): int(n) for i, n in zip(places, found)} == expected
+
+
+def _kept(pages: list[list[str]]) -> list[str]:
+    """The rule for the pages of one host, by comparing everything with everything."""
+    words = [" ".join(p).split() for p in pages]
+    windows = [{tuple(w[k : k + html.REPEAT]) for k in range(len(w) - html.REPEAT + 1)} for w in words]
+    on_pages = Counter(x for w in windows for x in w)
+    frequency = Counter(b for p in pages for b in set(p))
+    beside: dict[str, set] = {}
+    for p in pages:
+        for b in set(p):
+            others = [(len(o.split()), o) for o in set(p) if o != b and (frequency[o] if frequency[o] >= html.TEXTS else 0) <= frequency[b]]
+            longest = max((n for n, _ in others), default=0)
+            if frequency[b] >= html.TEXTS and longest and longest * 4 >= len(b.split()):
+                # No two of the longest tie in this test unless they are the same text.
+                beside.setdefault(b, set()).add(max(others)[1])
+    texts = []
+    for p, w in zip(pages, words):
+        cover = [False] * len(w)
+        for k in range(len(w) - html.REPEAT + 1):
+            if on_pages[tuple(w[k : k + html.REPEAT])] >= html.TEXTS:
+                cover[k : k + html.REPEAT] = [True] * html.REPEAT
+        kept, at = [], 0
+        for b in p:
+            n = len(b.split())
+            if len(beside.get(b, ())) < html.TEXTS or not all(cover[at : at + n]):
+                kept.append(b)
+            at += n
+        texts.append(" ".join(kept))
+    return texts
+
+
+def test_html_repeats_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pieces = ["top news", "our shop", "read it here", "all rights are reserved by us", "help", "more of the same for you"]
+    rows, expected = [], {}
+    for host in range(6):
+        pages = []
+        for i in range(30):
+            around = [pieces[k] for k in rng.integers(0, len(pieces), rng.integers(0, 6))]
+            # Unique texts of different lengths; a third of them is copied to other pages.
+            number = int(rng.integers(0, 4)) if rng.random() < 0.3 else 100 + i
+            story = " ".join([f"story {host} {number}", *(["word"] * (7 + number))])
+            cut = int(rng.integers(0, len(around) + 1))
+            pages.append([*around[:cut], story, *around[cut:]])
+        for i, text in enumerate(_kept(pages)):
+            expected[host * 100 + i] = text
+            rows.append((host * 100 + i, f"http://h{host}.example/{i}", "".join(f"<div>{b}</div>" for b in pages[i])))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html.extract(table).collect()}
+    assert got == expected
+    dropped = sum(len(" ".join(re.findall("<div>(.*?)</div>", h))) > len(expected[i]) for i, _, h in rows)
+    assert 0 < dropped < len(rows)
 
 
 def test_top_k_small_blocks_and_odd_vectors(spark):
