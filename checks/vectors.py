@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import check, embedding_rows, named, table
 from topicloom.operators import clusters, embed, layout
 from topicloom.operators.density import density_clusters
+from topicloom.operators.descent import descent_neighbors
 from topicloom.operators.facets import clean, refine_multiselect
 from topicloom.operators.neighbors import knn_graph as build_knn
 from topicloom.operators.plots import plot_table
@@ -35,6 +36,11 @@ def knn_graph(spark, sf_dir):
     return build_knn(embedding_rows(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
 
 
+@check("knn_descent")
+def knn_descent(spark, sf_dir):
+    return build_knn(embedding_rows(spark, sf_dir), search=descent_neighbors).withColumn("dist", F.round("dist", 6))
+
+
 def _half_sum(rows: str) -> str:
     return f"list_sum(list_transform(d, lambda x: CASE WHEN x <= rho THEN 1.0 ELSE exp(-(x - rho) / {rows}) END))"
 

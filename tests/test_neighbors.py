@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from topicloom.operators.neighbors import SearchSize, knn_graph
+from topicloom.operators import descent
+from topicloom.operators.neighbors import SearchSize, collapse_copies, knn_graph
+from topicloom.functions.vectors import unit
 
 
 def brute_force(ids, x, k, metric):
@@ -64,3 +66,39 @@ def test_near_copies_give_the_same_lists_for_any_cell_size(spark):
         graph = knn_graph(vectors, 4, size=size)
         found.append(sorted((r[0], r[1]) for r in graph.select(*graph.columns[:2]).collect()))
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_descent_finds_nearly_all_neighbours(spark, metric):
+    x = np.random.default_rng(3).normal(size=(1200, 16))
+    df = spark.createDataFrame(
+        [(i, [float(v) for v in row]) for i, row in enumerate(x)], "row_id long, vec array<double>"
+    )
+    rows = df.withColumn("vec", unit("vec")) if metric == "cosine" else df
+    _, distinct = collapse_copies(rows)
+    found = descent.descent_neighbors(distinct, 8, metric)
+    got = {(r["vid"], r["nbr"]) for r in found.collect()}
+    want = {(a, b) for a, b, _ in brute_force(list(range(len(x))), x, 8, metric)}
+    assert len(got) == 8 * len(x)
+    assert len(got & want) / len(want) >= 0.9
+    asked = {p for p in want if p[0] % 10 == 0}
+    measured = descent.recall(distinct, found, 8, metric, every=10, block_rows=100)
+    assert measured == pytest.approx(len(got & asked) / len(asked))
+
+
+def test_descent_with_copies_few_rows_and_too_few_rounds(spark):
+    x = clustered(60, 3, 5)
+    x[:20] = x[0]
+    df = spark.createDataFrame(
+        [(i, [float(v) for v in row]) for i, row in enumerate(x)], "row_id long, embedding array<double>"
+    )
+    got = knn_graph(df, 4, "euclidean", search=descent.descent_neighbors)
+    # Lists as long as the table hold every row, so nothing is missed.
+    every = lambda d, k, m: descent.descent_neighbors(d, k, m, pool=60)
+    exact = knn_graph(df, 4, "euclidean", search=every)
+    assert {(r[0], r[1], r[2]) for r in exact.collect()} == brute_force(list(range(60)), x, 4, "euclidean")
+    assert got.count() == exact.count()
+    assert knn_graph(df.filter("row_id < 1"), 4, search=descent.descent_neighbors).count() == 0
+    _, distinct = collapse_copies(df.withColumnRenamed("embedding", "vec"))
+    with pytest.raises(descent.NotSettled):
+        descent.descent_neighbors(distinct, 4, "euclidean", rounds=0)

@@ -9,6 +9,7 @@ best candidates per vector.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,11 +144,12 @@ def neighbors_of_distinct(
 
 def knn_graph(
     vectors: DataFrame, k: int | None = None, metric: str = "cosine", vec_col: str = "embedding",
-    size: SearchSize = SearchSize(),
+    size: SearchSize = SearchSize(), search: Callable[[DataFrame, int, str], DataFrame] | None = None,
 ) -> DataFrame:
     """(row_id, nbr_id, rank, dist): the k nearest other rows of each row, ties by id.
 
-    ``k`` defaults to min(15, max(2, n / 3)).
+    ``k`` defaults to min(15, max(2, n / 3)). ``search`` replaces the exact search of the distinct
+    vectors, for example by ``descent.descent_neighbors`` for vectors without structure.
     """
     rows = vectors.select("row_id", F.col(vec_col).cast("array<double>").alias("vec"))
     if metric == "cosine":
@@ -155,7 +157,7 @@ def knn_graph(
     members, distinct = collapse_copies(rows)
     if k is None:
         k = members.agg(neighbor_count(F.count("*")).alias("k")).first()["k"]
-    edges = neighbors_of_distinct(distinct, k, metric, size)
+    edges = neighbors_of_distinct(distinct, k, metric, size) if search is None else search(distinct, k, metric)
 
     # Of each group of copies, k + 1 rows are enough to serve any neighbour list.
     first = Window.partitionBy("vid").orderBy("row_id")
