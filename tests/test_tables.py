@@ -6,7 +6,8 @@ from topicloom.operators import columns, facets, joins, naming, reports, reuse
 from topicloom.operators.embed import encode_with, hashed_tfidf
 from topicloom.operators.projection import reduce_dimensions, reduction_params
 from topicloom.plans.embedding_job import build_store
-from topicloom.plans.topic_model import TooFewRows, fit
+from topicloom.plans import reused
+from topicloom.plans.topic_model import TooFewRows, TopicParams, fit
 from topicloom.sources import embeddings, tables
 
 
@@ -198,3 +199,89 @@ def test_facet_values_are_cast_alike_for_any_number(spark):
     assert few == many and [r["grade"] for r in few] == ["1"]
     numbers = spark.createDataFrame([(1,), (2,)], "age int")
     assert facet_filter(numbers, {"age": ["x", "2"]}).count() == 1
+
+
+def test_replies_of_a_model_that_fails_and_one_that_answers(spark):
+    ids = spark.createDataFrame([(-1,), (0,), (1,), (2,), (3,), (3,)], "topic_id int")
+    keywords = spark.createDataFrame(
+        [(t, r, f"w{t}{r}", 1.0) for t in range(4) for r in (1, 2)], "topic_id int, rank int, term string, weight double"
+    )
+    prompts = spark.createDataFrame(
+        [(0, "ask 0"), (1, "bad 1"), (2, None), (3, "known 3")], "topic_id int, name_prompt string"
+    ).coalesce(1)
+    cache = spark.createDataFrame([(3, "cached"), (2, "")], "topic_id int, topic_name string")
+
+    def answering():
+        def client(asked):
+            if any(p.startswith(("bad", "known")) for p in asked):
+                raise RuntimeError("no answer")
+            return [f" Title\nof {p} " for p in asked]
+        return client
+
+    def failing():
+        def client(asked):
+            raise RuntimeError("down")
+        return client
+
+    def short():
+        return lambda asked: ["one"] * (len(asked) - 1)
+
+    def names(client):
+        found = naming.names_by_model(ids, keywords, prompts, cache, client).collect()
+        assert len(found) == 5
+        return dict(map(tuple, found))
+
+    plain = dict(map(tuple, naming.name_topics(ids, keywords).collect()))
+    assert names(failing) == names(short) == plain | {3: "cached"}
+    assert names(answering) == plain | {0: "Title of ask 0", 3: "cached"}
+
+
+def test_summary_rows_do_not_depend_on_heavy_terms(spark):
+    import random
+
+    rnd = random.Random(5)
+    words = [f"word{i}" for i in range(60)]
+    rows = [
+        (i, i % 3, ". ".join(" ".join(rnd.choices(words, k=rnd.randint(1, 12))) for _ in range(rnd.randint(0, 6))))
+        for i in range(90)
+    ]
+    rows += [(200, 3, "orange peel. and that"), (201, 4, None), (202, -1, "left out")]
+    topics = spark.createDataFrame(rows, "row_id long, topic_id int, body string")
+    w = spark.createDataFrame(
+        [(t, word, rnd.random() ** 4) for t in range(4) for word in words] + [(3, "orange", 0.5)],
+        "topic_id int, term string, weight double",
+    )
+    found = [
+        sorted((r["topic_id"], r["rank"], r["row_id"], r["sentence_no"], round(r["score"], 9)) for r in
+               naming.extractive_summary(topics, w, "body", heavy_terms=n).collect())
+        for n in (0, 5, 1000)
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 10
+
+
+def test_fit_and_names_are_reused_until_a_file_changes(spark, tmp_path, monkeypatch):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    texts = ["red apple pie", "blue whale song"]
+    rows = spark.createDataFrame([(i, texts[i % 2] + f" number{i % 5}") for i in range(60)], "row_id long, body string")
+    rows.coalesce(1).write.parquet(source)
+    fits, fitted = [], reused.fit
+    monkeypatch.setattr(reused, "fit", lambda *a: fits.append(1) or fitted(*a))
+    params = TopicParams(method="kmeans", n_topics=2, min_topic_size=5, min_rows=5, first_clusters=2)
+
+    def run(**other):
+        return reused.fit_once(spark.read.parquet(source), "body", store, [source], params=params, **other)
+
+    model, folder = run()
+    again, same = run()
+    assert same == folder and len(fits) == 1
+    assert sorted(map(tuple, again.names.collect())) == sorted(map(tuple, model.names.collect()))
+    client = lambda: lambda asked: ["A title"] * len(asked)
+    broken = lambda: lambda asked: 1 / 0
+    names = reused.names_once(model, folder, "body", "m", client)
+    assert {r["topic_name"] for r in names.filter("topic_id >= 0").collect()} == {"A title"}
+    kept = reused.names_once(again, same, "body", "m", broken)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, names.collect()))
+    assert run(filters={"drug": ["A"]})[1] != folder and len(fits) == 2
+    rows.limit(50).coalesce(1).write.mode("append").parquet(source)
+    changed, other = run()
+    assert other != folder and len(fits) == 3 and changed.topics.count() > model.topics.count()

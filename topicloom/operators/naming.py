@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from topicloom.constants import (
@@ -11,6 +12,7 @@ from topicloom.constants import (
     OUTLIER_NAME, SAMPLES_IN_SUMMARY,
 )
 from topicloom.functions import text as T
+from topicloom.operators.joins import lookup
 from topicloom.operators.reports import topic_samples
 from topicloom.operators.weights import keyword_lists, with_terms
 from topicloom.scratch import materialize
@@ -23,6 +25,9 @@ SUMMARY_TEMPLATE = (
     "In one paragraph, say what these texts share and where they differ."
 )
 
+# Terms of a topic that bound the score of its sentences.
+HEAVY_TERMS = 200
+
 
 def fallback_name(topic_id: Column) -> Column:
     return F.concat(F.lit(FALLBACK_NAME_PREFIX), topic_id.cast("string"))
@@ -117,14 +122,106 @@ def names_to_compute(topic_ids: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
+def complete(
+    prompts: DataFrame, make_client: Callable[[], Callable[[list[str]], list[str | None]]],
+    prompt_col: str = "name_prompt", batch_size: int = 16,
+) -> DataFrame:
+    """(topic_id, reply) by a user's text model, written so that no prompt is asked twice.
+
+    ``make_client`` runs once per task and returns a function from prompts to replies. Where a
+    batch fails, its prompts are asked one by one; a prompt that fails has the reply NULL, as has
+    one that is NULL itself.
+    """
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = make_client()
+
+        def answers(asked: list[str]) -> list[str | None]:
+            try:
+                replies = list(client(asked))
+                if len(replies) != len(asked):
+                    raise ValueError(f"{len(replies)} replies to {len(asked)} prompts")
+                return replies
+            except Exception:  # a model's failure is a missing reply, which has its own name
+                return [None] if len(asked) == 1 else [r for p in asked for r in answers([p])]
+
+        for batch in batches:
+            asked = [p for p in batch if p is not None]
+            replies = iter([r for i in range(0, len(asked), batch_size) for r in answers(asked[i : i + batch_size])])
+            yield pd.Series([None if p is None else next(replies) for p in batch], dtype=object)
+
+    return materialize(prompts.select("topic_id", ask(F.col(prompt_col)).alias("reply")), "replies")
+
+
+def names_by_model(
+    topic_ids: DataFrame, keywords: DataFrame, prompts: DataFrame, cache: DataFrame,
+    make_client: Callable[[], Callable[[list[str]], list[str | None]]],
+) -> DataFrame:
+    """(topic_id, topic_name) with a text model's names; only topics that ``cache`` lacks are asked."""
+    missing = names_to_compute(topic_ids, cache)
+    replies = complete(prompts.join(missing, "topic_id", "left_semi"), make_client)
+    known = cache.select("topic_id", F.col("topic_name").alias("cached"))
+    every = (
+        topic_ids.select("topic_id").distinct().join(keyword_lists(keywords), "topic_id", "left")
+        .join(known, "topic_id", "left").join(replies, "topic_id", "left")
+    )
+    return resolve_names(every).select("topic_id", "topic_name")
+
+
+def _sentence_terms(sentence: DataFrame, language: str, stop_words: Sequence[str]) -> DataFrame:
+    return (
+        with_terms(sentence, "sentence", language, stop_words)
+        .select("topic_id", "row_id", "sentence_no", F.explode_outer("terms").alias("term"))
+        .filter("term IS NOT NULL")
+    )
+
+
+def sentence_bounds(
+    sentence: DataFrame, weights: DataFrame, language: str, stop_words: Sequence[str],
+    heavy_terms: int = HEAVY_TERMS,
+) -> DataFrame:
+    """Written (topic_id, row_id, sentence_no, low, high): bounds of each sentence's score.
+
+    The heaviest terms of a topic count with their weight, each other term with nothing or with
+    the weight of the next one. The terms of a sentence are added up where they are formed, so
+    one narrow row of each sentence is shuffled and written.
+    """
+    order = Window.partitionBy("topic_id").orderBy(F.desc("weight"), "term")
+    top = materialize(
+        weights.select("topic_id", "term", "weight").withColumn("i", F.row_number().over(order))
+        .filter(F.col("i") <= heavy_terms + 1),
+        "heavy-terms",
+    )
+    heavy = materialize(top.filter(F.col("i") <= heavy_terms).drop("i"), "heavy-weights")
+    rest = top.filter(F.col("i") > heavy_terms).select("topic_id", F.col("weight").alias("rest"))
+    sums = (
+        _sentence_terms(sentence, language, stop_words).join(heavy, ["topic_id", "term"], "left")
+        .groupBy("topic_id", "row_id", "sentence_no")
+        .agg(
+            F.coalesce(F.sum("weight"), F.lit(0.0)).alias("low"),
+            F.count_if(F.col("weight").isNull()).alias("light"),
+        )
+    )
+    return materialize(
+        lookup(sums, rest, "topic_id").select(
+            "topic_id", "row_id", "sentence_no", "low",
+            (F.col("low") + F.col("light") * F.coalesce("rest", F.lit(0.0))).alias("high"),
+        ),
+        "sentence-bounds",
+    )
+
+
 def extractive_summary(
     topics: DataFrame, weights: DataFrame, text_col: str, n_sentences: int = 3,
     samples: int | None = None, language: str = "english",
-    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS, heavy_terms: int = HEAVY_TERMS,
 ) -> DataFrame:
     """(topic_id, rank, row_id, sentence_no, sentence, score): sentences with most topic weight.
 
     All texts of a topic are ranked, or its first ``samples`` where given. Outliers get no summary.
+    Weights are not negative. Only sentences whose upper bound reaches the ``n_sentences``-th
+    lower bound of their topic are scored in full; ``heavy_terms`` changes the work, not the rows.
     """
     kept = topics.filter(F.col("topic_id") != OUTLIER_ID)
     if samples is None:
@@ -135,14 +232,22 @@ def extractive_summary(
         "topic_id", "row_id", F.posexplode_outer(T.sentences(F.col("sample")))
     ).filter("col IS NOT NULL").select("topic_id", "row_id", (F.col("pos") + 1).alias("sentence_no"), F.col("col").alias("sentence"))
     sentence = materialize(sentence, "sentences")
-    terms = (
-        with_terms(sentence, "sentence", language, stop_words)
-        .select("topic_id", "row_id", "sentence_no", F.explode_outer("terms").alias("term"))
-        .filter("term IS NOT NULL")
-        .groupBy("topic_id", "row_id", "sentence_no", "term").agg(F.count("*").alias("n"))
+    bounds = sentence_bounds(sentence, weights, language, stop_words, heavy_terms)
+    lowest = Window.partitionBy("topic_id").orderBy(F.desc("low"))
+    needed = (
+        bounds.select("topic_id", "low").withColumn("i", F.row_number().over(lowest))
+        .filter(F.col("i") <= n_sentences)
+        .groupBy("topic_id").agg(F.when(F.count("*") >= n_sentences, F.min("low")).otherwise(0.0).alias("needed"))
+    )
+    # Sums in another order may differ in their last digits.
+    reach = F.col("high") * (1 + 1e-6) + 1e-6 >= F.col("needed")
+    chosen = lookup(bounds, needed, "topic_id").filter(reach).select("topic_id", "row_id", "sentence_no")
+    chosen = materialize(
+        sentence.join(materialize(chosen, "chosen-keys"), ["topic_id", "row_id", "sentence_no"]), "chosen-sentences"
     )
     scores = (
-        materialize(terms, "sentence-terms")
+        _sentence_terms(chosen, language, stop_words)
+        .groupBy("topic_id", "row_id", "sentence_no", "term").agg(F.count("*").alias("n"))
         .join(weights.select("topic_id", "term", "weight"), ["topic_id", "term"])
         .groupBy("topic_id", "row_id", "sentence_no")
         .agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
@@ -154,6 +259,6 @@ def extractive_summary(
         scores.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= n_sentences)
     )
-    return ranked.join(sentence, ["topic_id", "row_id", "sentence_no"]).select(
+    return ranked.join(chosen, ["topic_id", "row_id", "sentence_no"]).select(
         "topic_id", "rank", "row_id", "sentence_no", "sentence", "score"
     )

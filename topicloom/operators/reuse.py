@@ -24,6 +24,23 @@ def fingerprint_of(spark: SparkSession, filters: Mapping, params: Mapping) -> st
     return row.select(fingerprint(F.col("m"))).first()[0]
 
 
+def data_digest(spark: SparkSession, *paths: str) -> str:
+    """Digest of the files below ``paths``: their names, lengths and times of modification.
+
+    Only the listing is read. The digest does not depend on its order.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    one = F.xxhash64("path", "length", "modificationTime")
+    row = files.agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("s"), F.bit_xor(one).alias("x"))
+    return row.select(F.sha2(F.concat_ws("|", "n", "s", "x"), 256)).first()[0]
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has marked the folder as complete."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def reuse(
     spark: SparkSession, store: str, key: str, compute: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -32,8 +49,7 @@ def reuse(
     Only a folder that its job has marked as complete counts as written.
     """
     path = f"{store.rstrip('/')}/{key}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if written(spark, path):
         return spark.read.parquet(path)
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
