@@ -26,6 +26,28 @@ def test_csv_keeps_quotes_line_breaks_and_missing(spark, tmp_path):
         tables.read_csv(spark, str(tmp_path / "none.csv"))
 
 
+def test_csv_names_cells_that_do_not_fit_the_schema(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('id,score,day,text\n1, 2.5 ,2024-02-29,a\nx,N/A,2024-02-30,"b\nc"\n,two,,\n3,4\n')
+    schema = "id int, score double, day date, text string"
+    rows = tables.read_csv(spark, str(path), schema, bad_cells="bad").collect()
+    assert [r["bad"] for r in rows] == [[], ["id", "day"], ["score"], []]
+    assert [(r["id"], r["score"], str(r["day"]), r["text"]) for r in rows] == [
+        (1, 2.5, "2024-02-29", "a"), (None, None, "None", "b\nc"), (None, None, "None", None), (3, 4.0, "None", None)]
+    with pytest.raises(ValueError, match="schema"):
+        tables.read_csv(spark, str(path), bad_cells="bad")
+    flat = tmp_path / "flat.csv"
+    flat.write_text("id\n" + "".join(f"{i}\n" for i in range(2000)))
+    parts = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+        split = tables.read_csv(spark, str(flat), "id int", line_breaks=False)
+        assert split.select(F.spark_partition_id()).distinct().count() > 1
+        assert split.agg(F.sum("id")).first()[0] == 1999 * 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", parts)
+
+
 def test_row_ids_follow_files_and_lines(spark, tmp_path):
     want = []
     for f in range(3):

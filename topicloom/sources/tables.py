@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from topicloom.functions.text import na_to_null
 from topicloom.scratch import materialize
@@ -15,22 +16,50 @@ class SourceError(Exception):
     """A table could not be read; the message names the path and the cause."""
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, normalize: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, normalize: bool = True,
+    bad_cells: str | None = None, line_breaks: bool = True,
+) -> DataFrame:
     """Reviews with quoted line breaks and doubled quotes; values stay strings without a schema.
 
     A date-like or numeric-looking column must not change its type before the text column is
-    found, so no types are inferred.
+    found, so no types are inferred. With a schema a value that does not fit becomes NULL;
+    ``bad_cells`` names a column that lists the columns where this happened, after
+    missing-value tokens became NULL. Files whose values have no line breaks are split between
+    tasks with ``line_breaks=False``; otherwise a file is read by one task.
     """
-    reader = spark.read.options(**CSV_DIALECT, multiLine="true", inferSchema="false")
-    if schema is not None:
-        reader = reader.schema(schema)
+    reader = spark.read.options(**CSV_DIALECT, multiLine=str(line_breaks).lower(), inferSchema="false")
+    typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if bad_cells is not None and typed is None:
+        raise ValueError("bad cells need a schema")
+    if bad_cells is not None:
+        reader = reader.schema(StructType([StructField(f.name, StringType()) for f in typed]))
+    elif typed is not None:
+        reader = reader.schema(typed)
     try:
         df = reader.csv(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise SourceError(f"{path} was not found") from e
         raise SourceError(f"the table at {path} is unreadable: {e}") from e
-    return normalize_missing(df) if normalize else df
+    df = normalize_missing(df) if normalize else df
+    return df if bad_cells is None else cast_cells(df, typed, bad_cells)
+
+
+def cast_cells(df: DataFrame, schema: StructType, bad_cells: str) -> DataFrame:
+    """String columns cast to ``schema``, and the names of the columns whose value did not fit.
+
+    A missing value is not a bad one. Spaces around numbers don't matter. ``bad_cells`` names the
+    new column, an empty array for good rows.
+    """
+    cast = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema}
+    bad = [
+        F.when(F.col(f"`{name}`").isNotNull() & value.isNull(), F.lit(name)) for name, value in cast.items()
+    ]
+    return df.select(
+        *[value.alias(name) for name, value in cast.items()],
+        F.array_compact(F.array(*bad)).cast("array<string>").alias(bad_cells),
+    )
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
