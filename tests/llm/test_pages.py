@@ -175,6 +175,21 @@ def test_html_repeats_of_a_whole_host(spark):
     assert all(got[4000 + i] == f"{i} on the other hand it is so {i}" for i in range(8))
 
 
+def test_html_repeats_in_the_lesser_articles_of_a_page(spark):
+    teaser = "<article><h2>read more about our new shop today</h2></article>"
+    line = "<p>one line stands in all stories"
+    page = "<article><p>{} alone has these words to tell{}</article>"
+    story = "{0} alone has these words to tell one line stands in all stories"
+    rows = [(i, "http://h.example/", page.format(i, line) + teaser) for i in range(6)]
+    # On its own the repeated article is the page's text, and few pages are no evidence.
+    rows += [(10, "http://h.example/", teaser)]
+    rows += [(20 + i, "http://other.example/", page.format(i, line) + teaser) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == story.format(i) for i in range(6))
+    assert got[10] == "read more about our new shop today"
+    assert all(got[20 + i] == f"{story.format(i)} {got[10]}" for i in range(4))
+
+
 def test_shared_substrings_match_brute_force():
     rng = np.random.default_rng(4)
     for least in (1, 2, 3, 5, 8):
