@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from topicloom.constants import NA_TOKENS
-from topicloom.operators import columns, facets, joins, naming, reports, reuse
+from topicloom.operators import columns, facets, joins, naming, reports, reuse, weights
 from topicloom.operators.embed import encode_with, hashed_tfidf
 from topicloom.operators.projection import reduce_dimensions, reduction_params
 from topicloom.plans.embedding_job import build_store
@@ -307,3 +308,42 @@ def test_fit_and_names_are_reused_until_a_file_changes(spark, tmp_path, monkeypa
     rows.limit(50).coalesce(1).write.mode("append").parquet(source)
     changed, other = run()
     assert other != folder and len(fits) == 3 and changed.topics.count() > model.topics.count()
+
+
+def test_term_counts_of_english_texts_match_the_word_expressions(spark, monkeypatch):
+    texts = [
+        "Don't stop\tthe quick-brown\nfox, the FOX runs", "", None, "a b c", "\u00e9t\u00e9 \u4e2d\u6587 caf\u00e9 42 .", "fox runs " * 40,
+        "emptydoc x", "\x0bfox\r\nruns", "!!! ???", "the", "one two the a three",
+    ]
+    rows = spark.createDataFrame(
+        [(t, x) for t in (3, -1, None) for x in texts], "topic_id int, review string"
+    ).repartition(3)
+    expected = weights.with_terms(rows, "review").select("topic_id", F.explode("terms").alias("term"))
+    expected = sorted(map(str, expected.groupBy("topic_id", "term").agg(F.count("*").alias("n")).collect()))
+    for size in (1, 60, 1 << 20):
+        monkeypatch.setattr(weights, "COUNTED_BYTES", size)
+        found = weights.class_term_counts(rows, "review")
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == expected
+
+
+def test_other_languages_read_the_texts_once(spark):
+    rows = spark.createDataFrame([(1, "der Baum und der Hund"), (2, "der Hund")], "topic_id int, review string")
+    found = weights.class_term_counts(rows, "review", "german", ())
+    spread = found.select("topic_id", "term", "n")
+    spread.collect()
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_keywords_are_found_among_few_terms_a_topic(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, f"w{i}", float(w)) for t in (0, 1) for i, w in enumerate(rng.integers(1, 40, 900) / 64)]
+    rows += [(2, "one", 0.5), (2, "two", 0.25), (None, "none", 0.1)]
+    table = spark.createDataFrame(rows, "topic_id int, term string, weight double")
+    found = {(r["topic_id"], r["rank"]): r["term"] for r in weights.topic_keywords(table, 7).collect()}
+    expected = {}
+    for t in (0, 1, 2, None):
+        mine = sorted((-w, term) for topic, term, w in rows if topic == t)[:7]
+        expected |= {(t, i + 1): term for i, (_, term) in enumerate(mine)}
+    assert found == expected
