@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from topicloom.operators import descent
+from topicloom.operators import descent, neighbors
 from topicloom.operators.neighbors import SearchSize, collapse_copies, knn_graph
 from topicloom.functions.vectors import unit
 
@@ -44,6 +45,25 @@ def test_many_cells_and_blocks_match_brute_force(spark, metric):
     assert got == brute_force(ids, x, 4, metric)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_bundles_of_cells_match_brute_force_and_move_a_row_once(spark, metric):
+    x = clustered(200, 4, 5)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "row_id long, embedding array<double>")
+    size = SearchSize(cell_rows=5, block_rows=9, bundle_rows=40)
+    found = knn_graph(df, k=4, metric=metric, size=size)
+    assert {(r["row_id"], r["nbr_id"], r["rank"]) for r in found.collect()} == brute_force(list(range(200)), x, 4, metric)
+    # Forty cells in bundles of forty rows: a row has at most one visit to each.
+    count = np.full(40, 5)
+    bundle = neighbors._bundles(np.sort(np.random.default_rng(1).normal(size=(40, 2))), count, np.ones(40, np.int64), 40)
+    assert len(np.unique(bundle)) <= 8 and all(count[bundle == b].sum() <= 40 for b in bundle)
+    batch = pa.RecordBatch.from_pydict({
+        "vid": [1], "vec": [[0.0, 0.0]], "limit": [None], "cell": pa.array([0], pa.int32()), "block": [0],
+        "targets": pa.array([list(range(40))], pa.list_(pa.int32())),
+    })
+    visits = list(neighbors._visits(bundle, np.ones(40, np.int64))([batch]))[0].to_pydict()
+    assert len(visits["bundle"]) == len(np.unique(bundle)) and sorted(sum(visits["cells"], [])) == list(range(1, 40))
+
+
 def test_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame(
         [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "row_id long, embedding array<double>"
