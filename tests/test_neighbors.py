@@ -122,3 +122,46 @@ def test_descent_with_copies_few_rows_and_too_few_rounds(spark):
     _, distinct = collapse_copies(df.withColumnRenamed("embedding", "vec"))
     with pytest.raises(descent.NotSettled):
         descent.descent_neighbors(distinct, 4, "euclidean", rounds=0)
+
+
+def test_descent_sends_a_vector_once_to_a_part(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(1200, 16))
+    df = spark.createDataFrame(
+        [(i, [float(v) for v in row]) for i, row in enumerate(x)], "row_id long, vec array<double>"
+    )
+    rounds, write = [], descent.materialize
+
+    def written(table, name):
+        table = write(table, name)
+        if name == "descent-hubs":
+            rounds.append(table)
+        return table
+
+    monkeypatch.setattr(descent, "materialize", written)
+    # Several planes, and groups of which some are split by hash.
+    monkeypatch.setattr(descent, "START_ROWS", 40)
+    monkeypatch.setattr(descent, "LEAST_PARTS", 3)
+    found = descent.descent_neighbors(collapse_copies(df)[1], 8, "euclidean")
+    sent = [
+        (t.selectExpr("part", "explode(members) AS vid").distinct().count(), t.selectExpr("sum(size(members))").first()[0])
+        for t in rounds[:1]
+    ]
+    assert sent and all(rows <= 3 * len(x) and rows * 10 < members for rows, members in sent)
+    want = {(a, b) for a, b, _ in brute_force(list(range(len(x))), x, 8, "euclidean")}
+    got = {(r["vid"], r["nbr"]): r["dist"] for r in found.collect()}
+    assert len(want & set(got)) / len(want) >= 0.9
+    assert all(d == pytest.approx(np.linalg.norm(x[a] - x[b]), abs=1e-12) for (a, b), d in got.items())
+
+
+def test_descent_compares_new_pairs_only():
+    x = np.random.default_rng(5).normal(size=(5, 3)).astype(np.float32)
+    hubs = pa.table({"members": [[10, 11, 12], [11, 12, 13, 14]], "fresh": [[False, True, False], [False, True, False, False]]})
+    rows = pa.table({
+        "vid": [12, 11, 10, 14, 13], "vec": x[[2, 1, 0, 4, 3]].tolist(), "tag": pa.array([2, 1, 0, 4, 3], pa.int32()),
+        "bound": [float("inf")] * 5, "known": pa.array([[1], [2], [], [], []], pa.list_(pa.int32())),
+    })
+    got = descent._compare("euclidean", 2)(hubs, rows).to_pandas()
+    pairs = {(10, 11), (11, 10), (12, 13), (12, 14), (13, 12), (14, 12)}
+    assert sorted(zip(got["vid"], got["nbr"])) == sorted(pairs)
+    for a, b, d in got.itertuples(index=False):
+        assert d == pytest.approx(np.linalg.norm(x[a - 10].astype(float) - x[b - 10]))
