@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicloom import skew
-from topicloom.operators import clusters, density
+from topicloom.operators import clusters, density, weights
 from topicloom.operators.components import connected_components
 from topicloom.operators.spanning import spanning_tree
+from topicloom.plans.topic_model import TopicParams, fit
+from topicloom.scratch import materialize
 
 
 def union_find(nodes, edges):
@@ -336,3 +338,41 @@ def test_similarity_of_topics(spark):
     assert got[0, 2] == got[1, 2] == 0.0
     apart = topic_similarity(df.filter("term IN ('b', 'c', 'd')")).collect()
     assert len(apart) == 3 and all(r["similarity"] == 0.0 for r in apart)
+
+
+@pytest.mark.parametrize("language", ["english", "any"])
+def test_terms_of_merged_topics_add_up_within_their_rows(spark, language):
+    texts = [
+        (0, "red fox red fox runs"), (1, "red fox sleeps"), (2, "blue whale sings"), (0, "fox sings"), (-1, "red whale red"),
+        (3, "blue whale sings"), (1, None), (2, ""), (4, "red fox"),
+    ] * 3
+    topics = spark.createDataFrame(texts, "topic_id int, text string").repartition(5)
+    merges = {-1: -1, 0: 1, 1: 1, 2: 0, 3: 0, 4: 2}
+    counts = weights.class_term_counts(topics, "text", language).toPandas()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for documents in (0, 7_000):
+        terms = materialize(weights.class_terms(topics, "text", language, documents=documents), "terms")
+        assert terms.count() == counts["term"].nunique()
+        corpus = counts.groupby("term")["n"].sum()
+        held = rows(weights.held_counts(terms))
+        assert held == sorted((t, w, n, corpus[w]) for t, w, n in counts.itertuples(index=False))
+        new = spark.createDataFrame(list(merges.items()), "topic_id int, new_id int")
+        merged = materialize(weights.merged_counts(terms, new), "merged")
+        wanted = counts.assign(topic_id=counts["topic_id"].map(merges)).groupby(["topic_id", "term"], as_index=False)["n"].sum()
+        assert rows(merged) == sorted((t, w, n, corpus[w]) for t, w, n in wanted.itertuples(index=False))
+        totals = materialize(weights.topic_terms(merged), "totals")
+        plain = weights.ctfidf(materialize(spark.createDataFrame(wanted), "counts"))
+        assert rows(weights.weighted(merged, totals)) == rows(plain)
+
+
+def test_fit_sorts_no_terms_again(spark, monkeypatch):
+    def again(*_):
+        raise AssertionError("term counts are sorted by term a second time")
+
+    monkeypatch.setattr(weights, "ctfidf", again)
+    rows = spark.createDataFrame(
+        [(i, ["red fox runs", "blue whale sings", "old oak grows"][i % 3] + " on" * (i % 2)) for i in range(60)],
+        "row_id long, review string",
+    )
+    model = fit(rows, "review", params=TopicParams(method="kmeans", first_clusters=4, n_topics=2, min_topic_size=2))
+    assert model.topics.count() == 60 and set(model.weights.columns) == {"topic_id", "term", "n", "idf", "weight"}
