@@ -1,11 +1,12 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from topicloom import skew
-from topicloom.operators import clusters, density, weights
+from topicloom.operators import clusters, condense, density, weights
 from topicloom.operators.components import connected_components
 from topicloom.operators.spanning import spanning_tree
 from topicloom.plans.topic_model import TopicParams, fit
@@ -376,3 +377,31 @@ def test_fit_sorts_no_terms_again(spark, monkeypatch):
     )
     model = fit(rows, "review", params=TopicParams(method="kmeans", first_clusters=4, n_topics=2, min_topic_size=2))
     assert model.topics.count() == 60 and set(model.weights.columns) == {"topic_id", "term", "n", "idf", "weight"}
+
+
+@pytest.mark.parametrize("chunk", [40, 1000])
+def test_driver_gives_moves_back_as_arrow_tables(spark, monkeypatch, chunk):
+    seen, plain = [], condense._merge
+
+    def merge(*args):
+        seen.append(plain(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(condense, "_merge", merge)
+    rng = np.random.default_rng(4)
+    edges = [(int(rng.integers(0, i)), i, float(rng.integers(1, 30))) for i in range(1, 90)]
+    tree = materialize(spark.createDataFrame(edges, "a long, b long, dist double"), "tree")
+    weights_ = spark.createDataFrame([(i, 1 + 4 * (i % 9 == 0)) for i in range(90)], "vid long, copies long")
+    found = condense.condensed_labels(tree, weights_, 5, chunk).collect()
+    assert sorted(r["vid"] for r in found) == list(range(90))
+    assert seen and all(isinstance(t, pa.Table) for pair in seen for t in pair)
+
+
+def test_core_distances_keep_lists_for_the_reachability(spark):
+    near = materialize(spark.createDataFrame(
+        [(1, 2, 0.5), (1, 3, 0.7), (2, 1, 0.5), (2, 3, 0.6), (3, 2, 0.6), (3, 1, 0.7)], "vid long, nbr long, dist double"
+    ), "near")
+    copies = spark.createDataFrame([(1, 1), (2, 3), (3, 1), (4, 1)], "vid long, copies long")
+    core = materialize(density.core_distances(near, copies, 3), "core")
+    assert {(r["vid"], r["copies"], r["core"]) for r in core.collect()} == {(1, 1, 0.5), (2, 3, 0.0), (3, 1, 0.6)}
+    assert set(map(tuple, density.reachability(core).collect())) == {(1, 2, 0.5), (1, 3, 0.7), (2, 3, 0.6)}

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -165,3 +166,66 @@ def test_descent_compares_new_pairs_only():
     assert sorted(zip(got["vid"], got["nbr"])) == sorted(pairs)
     for a, b, d in got.itertuples(index=False):
         assert d == pytest.approx(np.linalg.norm(x[a - 10].astype(float) - x[b - 10]))
+
+
+@pytest.mark.parametrize("limits", ["none", "some", "all"])
+@pytest.mark.parametrize("kind", ["plain", "ties", "far", "single", "nan"])
+def test_block_search_computes_few_distances_and_finds_the_same(monkeypatch, kind, limits):
+    rng = np.random.default_rng(7)
+    q, p = rng.normal(size=(300, 5)), rng.normal(size=(900, 5))
+    if kind == "ties":
+        q, p = np.round(q), np.round(p)
+    if kind == "far":  # the products lose most digits
+        q, p = q * 1e-6 + 1e5, p * 1e-6 + 1e5
+    if kind == "single":
+        q, p = q.astype(np.float32), p.astype(np.float32)
+    if kind == "nan":
+        q[3, 1] = p[5, 2] = np.nan
+    q_ids, p_ids = np.arange(300) * 3, rng.permutation(900)
+    p_ids[7] = p_ids[8]
+    p[p_ids < 300] = q[p_ids[p_ids < 300] // 3]
+    d = np.zeros((300, 900))
+    for i in range(5):
+        d += (q[:, i][:, None] - p[:, i][None, :]) ** 2
+    d = np.sqrt(d)
+    key = np.where(q_ids[:, None] == p_ids[None, :], np.inf, np.round(d, 9))
+    key = np.where(np.isnan(key), np.inf, key)
+    most = np.full(300, np.inf)
+    if limits != "none":
+        most[:: 1 if limits == "all" else 2] = np.sort(key, axis=1)[:: 1 if limits == "all" else 2, 9]
+    want = []
+    for i in range(300):
+        near = [j for j in np.lexsort((p_ids, key[i])) if np.isfinite(key[i, j]) and key[i, j] <= most[i]][:7]
+        want += [(i, j, d[i, j]) for j in near]
+    nearest = neighbors._nearest_function(7, "euclidean")
+    for step in (neighbors.STEP_VALUES, 5_000):
+        monkeypatch.setattr(neighbors, "STEP_VALUES", step)
+        found = zip(*nearest(q, q_ids, p, p_ids, None if limits == "none" else most))
+        assert sorted(found, key=lambda e: e[0]) == want
+    if kind in ("plain", "ties"):
+        seen, sqrt = [], np.sqrt
+        monkeypatch.setattr(neighbors.np, "sqrt", lambda v: (seen.append(np.size(v)), sqrt(v))[1])
+        nearest(q, q_ids, p, p_ids, None if limits == "none" else most)
+        assert sum(seen) < 0.3 * d.size
+
+
+def test_block_rules_out_far_pivots_without_looking(monkeypatch):
+    rng = np.random.default_rng(9)
+    pivots = np.array([[100.0 * i, 0.0] for i in range(400)])
+    rows = rng.normal(size=(60, 2))
+    rows[1] = [150.0, 0.0]  # between two pivots, and far from all rows
+    frame = pd.DataFrame({"vid": np.arange(60), "vec": list(rows), "cell": 0, "block": 0})
+    count, radius = np.full(400, 60), np.full(400, 3.0)
+    counted, sqrt = [], np.sqrt
+    monkeypatch.setattr(neighbors, "STEP_VALUES", 4_000)
+    kernel = neighbors._own_block_kernel(pivots, count, radius, np.ones(400, np.int64), 5, "euclidean")
+    monkeypatch.setattr(neighbors.np, "sqrt", lambda v: (counted.append(np.size(v)), sqrt(v))[1])
+    found = kernel((0,), frame)
+    d = sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))
+    reach = np.sort(d, axis=1)[:, 5]
+    for i, targets in enumerate(found["targets"]):
+        to = sqrt(((pivots - rows[i]) ** 2).sum(1))
+        lower = np.maximum(to - radius, np.r_[0, (to[1:] ** 2 - to[0] ** 2) / (2 * pivots[1:, 0])])
+        near = np.minimum(reach[i], (to + radius).min())
+        assert set(targets) == {c for c in range(1, 400) if lower[c] <= near + 1e-6 * (1 + to[c])}
+    assert sum(counted) < 60 * 400 / 2
