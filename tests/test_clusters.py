@@ -312,6 +312,25 @@ def test_topic_merges_equal_a_plain_loop(spark, topics, goal, cells):
     assert dict(map(tuple, got)) == merged_by_hand(rows, sizes, goal)
 
 
+def test_merges_hold_products_in_small_room(spark):
+    import tracemalloc
+
+    # All pairs share a term: 499,500 products, at about 400 bytes each as row objects and dicts.
+    n = 1_000
+    rows = spark.range(n).select(F.col("id").cast("int").alias("topic_id"), F.lit("w").alias("term"), (F.col("id") + 1).alias("n"), F.lit(1.0).alias("idf"))
+    sizes = rows.select("topic_id", F.lit(10).cast("long").alias("n"))
+    for cells in (n * n, n * n // 2):
+        tracemalloc.start()
+        try:
+            got = dict(map(tuple, clusters.reduce_topics(rows, sizes, n - 2, cells=cells).collect()))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        # Of equal sizes the last topic goes first, into the first of those that are all alike.
+        assert got == {t: t if t < n - 2 else 0 for t in range(n)}
+        assert peak < 60e6
+
+
 def test_products_of_many_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 3, (40, 30)) * rng.integers(0, 2, (40, 30))
