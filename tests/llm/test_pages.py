@@ -190,6 +190,53 @@ def test_html_repeats_in_the_lesser_articles_of_a_page(spark):
     assert all(got[20 + i] == f"{story.format(i)} {got[10]}" for i in range(4))
 
 
+def test_html_repeats_beside_longer_repeats(spark):
+    # The longest other block of a menu is a notice, until that is known to repeat.
+    menu, notice = "home news sport weather shop contact help", " ".join(f"we keep word {k}" for k in range(8))
+    rows = [
+        (i, "http://h.example/", f"<div>{menu}</div><div>{notice}</div><p>{i} is the whole story of the day here at this place")
+        for i in range(6)
+    ]
+    copied = "".join(f"<p>part {k} of the same long article is told here" for k in range(3))
+    rows += [(10 + i, "http://h.example/", f"<div>{menu}</div>{copied}<p>ad {i}") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{i} is the whole story of the day here at this place" for i in range(6))
+    article = " ".join(f"part {k} of the same long article is told here" for k in range(3))
+    assert all(got[10 + i] == f"{article} ad {i}" for i in range(6))
+
+
+def test_html_repeats_in_the_largest_article(spark):
+    notice, line = "all our stories are free to read thanks to you", "one line stands in many of the stories"
+    page = "<article><p>{}<p>{} alone has these words to tell{}</article>"
+    story = "{} alone has these words to tell"
+    rows = [(i, "http://h.example/", page.format(notice, i, f"<p>{line}" if i < 20 else "")) for i in range(40)]
+    # A page that has nothing else, a story that is copied, and a host of few pages.
+    rows.append((100, "http://h.example/", f"<main><p>{notice}</main>"))
+    rows += [(200 + i, "http://copies.example/", page.format(notice, "the same", "")) for i in range(30)]
+    rows += [(300 + i, "http://few.example/", page.format(notice, i, "")) for i in range(19)]
+    # A notice on every second page only, and one on most pages where pages are repeated rows.
+    rows += [(400 + i, "http://half.example/", page.format(notice if i % 2 else f"none {i}", i, "")) for i in range(50)]
+    rows += [(500 + i % 25, "http://rows.example/", page.format(notice, i % 25, "")) for i in range(100)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [(r["page_id"], r["text"]) for r in html.extract(table).collect()]
+    assert len(got) == len(rows)
+    got = dict(got)
+    assert all(got[i] == story.format(i) + (f" {line}" if i < 20 else "") for i in range(40))
+    assert got[100] == notice
+    assert all(got[200 + i] == f"{notice} {story.format('the same')}" for i in range(30))
+    assert all(got[300 + i] == f"{notice} {story.format(i)}" for i in range(19))
+    assert all(got[400 + i] == f"{notice if i % 2 else f'none {i}'} {story.format(i)}" for i in range(50))
+    assert all(got[500 + i] == story.format(i) for i in range(25))
+
+
+def test_html_repeats_are_sought_on_pages_of_one_article(spark, monkeypatch):
+    judged, plain = [], html.repeats
+    monkeypatch.setattr(html, "repeats", lambda rows: judged.append(rows.select(F.explode("seen")).count()) or plain(rows))
+    rows = [(i, "http://h.example/", f"<article><p>one {i}<p>two {i}</article>") for i in range(3)]
+    assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 3
+    assert judged == [6]
+
+
 def test_shared_substrings_match_brute_force():
     rng = np.random.default_rng(4)
     for least in (1, 2, 3, 5, 8):
@@ -257,6 +304,83 @@ def test_html_repeats_match_brute_force(spark):
     assert 0 < dropped < len(rows)
 
 
+def _judged(pages: list[str], rounds: list) -> list[str]:
+    """The whole rule for the distinct pages of one host, by comparing everything with everything."""
+    placed = [html.placed_blocks(p) for p in pages]
+    inner = [[b for b, _ in found] for found, _ in placed]
+    mains = [[at == html._main(found, own) for _, at in found] for found, own in placed]
+    every = [html.blocks(p, whole=True)[0] if own else b for p, (_, own), b in zip(pages, placed, inner)]
+    article = [{b for b, m in zip(x, y) if m} for x, y in zip(inner, mains)]
+    windows = lambda w: [tuple(w[k : k + html.REPEAT]) for k in range(len(w) - html.REPEAT + 1)]
+    on_pages = Counter(x for p in every for x in set(windows(" ".join(p).split())))
+    on = Counter(b for p in every for b in set(p))
+    frequency = {b: n if n >= html.TEXTS else 0 for b, n in on.items()}
+    least = {False: html.TEXTS, True: max(html.MAIN_TEXTS, len(pages) // 2 + 1)}
+    known: dict[bool, set] = {False: set(), True: set()}
+    while True:
+        more = set()
+        for main in (False, True):
+            beside: dict[str, set] = {}
+            for p in article if main else map(set, every):
+                left = p - known[main]
+                for b in left:
+                    others = [o for o in left if o != b and frequency[o] <= frequency[b]]
+                    longest = max(others, key=lambda o: len(o.split()), default=None)
+                    if frequency[b] and longest and len(longest.split()) * 4 >= len(b.split()):
+                        beside.setdefault(b, set()).add(longest)
+            more |= {(main, b) for b, texts in beside.items() if len(texts) >= least[main]}
+        if not more:
+            break
+        rounds.append(more)
+        for main, b in more:
+            known[main].add(b)
+    texts = []
+    for p, m in zip(inner, mains):
+        cover, at, gone = [False] * len(" ".join(p).split()), 0, []
+        for k, x in enumerate(windows(" ".join(p).split())):
+            if on_pages[x] >= html.TEXTS:
+                cover[k : k + html.REPEAT] = [True] * html.REPEAT
+        for b, in_main in zip(p, m):
+            n = len(b.split())
+            gone.append(b in known[in_main] and all(cover[at : at + n]))
+            at += n
+        emptied = all(g for g, in_main in zip(gone, m) if in_main)
+        texts.append(" ".join(b for b, g, in_main in zip(p, gone, m) if not g or (in_main and emptied)))
+    return texts
+
+
+def test_html_repeats_of_all_places_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html, "MAIN_TEXTS", 8)
+    rng = np.random.default_rng(11)
+    # No two pieces are of one length, and none is as long as a story; tales are shorter than some.
+    pieces = [" ".join(f"piece{k}" for _ in range(n)) for k, n in enumerate((2, 4, 5, 7, 11, 13, 16))]
+    rows, expected, plain, rounds = [], {}, {}, []
+    for host in range(8):
+        pages = []
+        for i in range(24):
+            some = lambda p: [x for x in pieces if rng.random() < p]
+            number = int(rng.integers(0, 3)) if rng.random() < 0.2 else 100 + i
+            story = f"story {host} {number} " + " ".join(["word"] * (15 if number < 3 else 17 + i)) if host % 2 else f"tale {i} {host} is shorter than some of the pieces"
+            blocks = [*some(0.6), story, *some(0.3)]
+            cut = int(rng.integers(0, len(blocks)))
+            part = lambda x: "".join(f"<p>{b}</p>" for b in x)
+            if rng.random() < 0.7:
+                page = part(some(0.3)) + f"<article>{part(blocks)}</article>" + f"<article>{part(some(0.4))}</article>"
+            else:
+                page = part(blocks[:cut]) + part(blocks[cut:])
+            pages.append(f"<main>{part(some(0.9))}</main>" if rng.random() < 0.1 else page)
+        pages = list(dict.fromkeys(pages))
+        for i, text in enumerate(_judged(pages, rounds)):
+            expected[host * 100 + i] = text
+            plain[host * 100 + i] = " ".join(html.blocks(pages[i])[0])
+            rows.append((host * 100 + i, f"http://h{host}.example/{i}", pages[i]))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html.extract(table).collect()}
+    assert got == expected
+    assert len(rounds) > 8 and {main for found in rounds for main, _ in found} == {False, True}
+    assert 0 < sum(expected[i] != plain[i] for i in plain) < len(rows)
+
+
 def test_top_k_small_blocks_and_odd_vectors(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 7]) for i in range(300)]
